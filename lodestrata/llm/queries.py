@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import mixing, splitter, tokenids
+from lodestrata.llm import docpairs, mixing, neardup, splitter, tokenids
 from lodestrata.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": lambda s, d: docpairs.found(table(s, d, "chunk")),
+    "p2_pairs": lambda s, d: docpairs.document_pairs(table(s, d, "chunk")),
+    "p3_found": lambda s, d: neardup.found(table(s, d, "chunk")),
+    "p3_groups": lambda s, d: neardup.groups(table(s, d, "chunk")),
     "p6_found": lambda s, d: splitter.found(table(s, d, "chunk"), table(s, d, "size_limits")),
     "p6_pieces": lambda s, d: splitter.split_oversized(table(s, d, "chunk"), table(s, d, "size_limits")),
     "p7_ids": lambda s, d: tokenids.encode_corpus(table(s, d, "documents")),
