@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import docpairs, mixing, neardup, splitter, tokenids
+from lodestrata.llm import docpairs, mixing, neardup, pii, splitter, tokenids
 from lodestrata.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": lambda s, d: tokenids.encode_corpus(table(s, d, "documents")),
     "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
     "p8_report": lambda s, d: mixing.mix_report(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p9_found": lambda s, d: pii.found(table(s, d, "documents"), table(s, d, "given_names"), table(s, d, "lexicon")),
+    "p9_redacted": lambda s, d: pii.redact_texts(table(s, d, "documents"), table(s, d, "given_names"), table(s, d, "lexicon")),
 }
 
 # Problem 6 can be told from the text alone: a cut is forced where a long enough stretch has no boundary.
