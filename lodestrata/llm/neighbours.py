@@ -199,9 +199,12 @@ def _compare_blocks(blocks: DataFrame, dim: int, keep: int, block: int) -> DataF
 # --- NN-descent ----------------------------------------------------------------------------------------------
 
 
-def _keep_best(pairs: DataFrame, keep: int) -> DataFrame:
-    """``(node, nbrs array<struct<sim, other>>)``: the best of each node; no node's pairs are collected before they are cut to ``keep`` a task."""
-    one = pairs.groupBy("node", "other").agg(F.max("sim").alias("sim"))
+def _keep_best(pairs: DataFrame, keep: int, few: bool = False) -> DataFrame:
+    """``(node, nbrs array<struct<sim, other>>)``: the best of each node; no node's pairs are collected before they are cut to ``keep`` a task.
+
+    ``few``: no node has many pairs, so that one shuffle by node serves instead of one that combines equal pairs before it.
+    """
+    one = (pairs.repartition("node") if few else pairs).groupBy("node", "other").agg(F.max("sim").alias("sim"))
     w = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
     top = one.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep)
     return top.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sim", "other")), asc=False).alias("nbrs"))
@@ -268,7 +271,7 @@ def _parts(centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def neighbour_graph(nodes: DataFrame, dim: int, keep: int = 10, trees: int = 5, rounds: int = 1, links: int = 4, block: int = BLOCK, seed: int = 5) -> DataFrame:
     """``(node, nbrs array<struct<sim, other>>)`` over ``(node, vec)``, best first; ``sim`` is of the compressed vectors."""
     pairs = _compare_blocks(_blocks(nodes, dim, trees, block, seed), dim, min(keep, 8), block)
-    graph = cut_lineage(_keep_best(pairs, keep))
+    graph = cut_lineage(_keep_best(pairs, keep, few=True))  # at most 8 a tree
     for _ in range(rounds):
         known = graph.select("node", F.explode("nbrs").alias("n")).select("node", F.col("n.other").alias("other"), F.col("n.sim").alias("sim"))
         graph = cut_lineage(_keep_best(known.unionByName(_descend(nodes, graph, dim, keep, links)), keep))
@@ -296,7 +299,7 @@ def most_similar(
 
     ``least`` keeps only neighbours of at least that similarity, which spares scoring the others again.
     """
-    rows = cut_lineage(unit_vectors(df, id_col, vector_col, dim))
+    rows = unit_vectors(df, id_col, vector_col, dim)  # read again for the ids: cheaper than to write them with their vectors
     nodes = cut_lineage(rows.groupBy("node").agg(F.first("vec").alias("vec")))
     ids = rows.select("node", "id").distinct()
     graph = neighbour_graph(nodes, dim, keep, trees, rounds, links, block, seed)
