@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import docpairs, mixing, neardup, neighbours, pairdefects, pii, splitter, tokenids
+from lodestrata.llm import docpairs, mixing, neardup, neighbours, pairdefects, pii, scanrepair, splitter, tokenids
 from lodestrata.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_groups": lambda s, d: neardup.groups(table(s, d, "chunk")),
     "p4_found": lambda s, d: pairdefects.found(table(s, d, "chats"), table(s, d, "lexicon")),
     "p4_tags": lambda s, d: pairdefects.tag_pairs(table(s, d, "chats"), table(s, d, "lexicon")),
+    "p5_found": lambda s, d: scanrepair.found(table(s, d, "chunk"), table(s, d, "lexicon")),
+    "p5_repaired": lambda s, d: scanrepair.repaired(table(s, d, "chunk"), table(s, d, "lexicon")),
     "p6_found": lambda s, d: splitter.found(table(s, d, "chunk"), table(s, d, "size_limits")),
     "p6_pieces": lambda s, d: splitter.split_oversized(table(s, d, "chunk"), table(s, d, "size_limits")),
     "p7_ids": lambda s, d: tokenids.encode_corpus(table(s, d, "documents")),
