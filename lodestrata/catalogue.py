@@ -49,7 +49,7 @@ WS = T.WS.replace(r"\t-\r", r"\t\n\x0b\f\r")
 C = "c AS (SELECT DISTINCT ON (id) * FROM chunk)"
 OK = "embeddings IS NOT NULL AND len(embeddings) = 64 AND len(list_filter(embeddings, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embeddings, lambda x: x <> 0)) > 0"
 DIST = f"q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), {C}, k AS (SELECT c.*, 1 - list_cosine_similarity(c.embeddings::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM c, q WHERE {OK})"
-SCORE = "CASE WHEN distance BETWEEN 0 AND 1 THEN 1 - distance ELSE 1 / (1 + greatest(0, distance)) END"
+SCORE = "CASE WHEN distance IS NULL THEN 0 WHEN distance BETWEEN 0 AND 1 THEN 1 - distance ELSE 1 / (1 + greatest(0, distance)) END"
 LINES = r"string_split_regex(coalesce({0}, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
 
 
@@ -152,11 +152,11 @@ def retrieve_full(s, d):
     return out.select("id", "rank", r6("score").alias("score"), "boosted")
 
 
-@query(f"WITH {DIST}, b AS (SELECT id, {SCORE} AS score FROM (SELECT * FROM k ORDER BY distance, id LIMIT 50)), e AS (SELECT id, max(score) * 1.15 AS score FROM hits WHERE id IS NOT NULL AND score IS NOT NULL AND chat_id % 10 = 0 GROUP BY id) SELECT id, round(max(score), 6) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM e) GROUP BY id")
+@query(f"WITH {DIST}, b AS (SELECT id, {SCORE} AS score FROM (SELECT * FROM k ORDER BY distance, id LIMIT 50)), e AS (SELECT id, max(score) * 1.15 AS score FROM hits WHERE id IS NOT NULL AND score IS NOT NULL GROUP BY id) SELECT id, round(max(score), 9) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM e) GROUP BY id")
 def merge_by_id(s, d):
     near = retrieval.nearest(chunks(s, d, "embeddings"), query_vector(s, d), "embeddings", "id", 50).select("id", V.score_from_distance(F.col("distance")).alias("score"))
-    extra = table(s, d, "hits").filter("score IS NOT NULL AND chat_id % 10 = 0").groupBy("id").agg(F.max("score").alias("score"))
-    return retrieval.merge_best(near, extra, "id").select("id", r6("score").alias("score"))
+    extra = table(s, d, "hits").filter("score IS NOT NULL").groupBy("id").agg(F.max("score").alias("score"))
+    return retrieval.merge_best(near, extra, "id").select("id", F.round("score", 9).alias("score"))
 
 
 def _hit_chunks(s, d):
@@ -451,7 +451,8 @@ def index_stats(s, d):
 
 
 _LATEST = "lm AS (SELECT relpath, max(mtime) AS mtime FROM manifest WHERE relpath IS NOT NULL GROUP BY relpath), m AS (SELECT lm.relpath, lm.mtime, max(x.size) AS size FROM lm JOIN manifest x ON x.relpath = lm.relpath AND x.mtime IS NOT DISTINCT FROM lm.mtime GROUP BY 1, 2)"
-_DELTA = f"{C}, {_LATEST}, ix AS (SELECT file_path AS relpath, max(mtime) AS mtime FROM c GROUP BY 1), df AS (SELECT coalesce(m.relpath, ix.relpath) AS relpath, CASE WHEN ix.relpath IS NULL THEN 'added' WHEN m.relpath IS NULL THEN 'deleted' WHEN m.mtime IS DISTINCT FROM ix.mtime THEN 'changed' END AS status FROM m FULL JOIN ix ON m.relpath = ix.relpath)"
+_OLDEST = "lo AS (SELECT relpath, min(mtime) AS mtime FROM manifest WHERE relpath IS NOT NULL AND mtime IS NOT NULL GROUP BY relpath), ol AS (SELECT lo.relpath, lo.mtime, min(x.size) AS size FROM lo JOIN manifest x ON x.relpath = lo.relpath AND x.mtime = lo.mtime GROUP BY 1, 2)"
+_DELTA = f"{C}, {_LATEST}, {_OLDEST}, df AS (SELECT coalesce(m.relpath, ol.relpath) AS relpath, CASE WHEN ol.relpath IS NULL THEN 'added' WHEN m.relpath IS NULL THEN 'deleted' WHEN m.mtime IS DISTINCT FROM ol.mtime OR m.size IS DISTINCT FROM ol.size THEN 'changed' END AS status FROM m FULL JOIN ol ON m.relpath = ol.relpath)"
 
 
 @query(f"WITH {_LATEST} SELECT * FROM m")
@@ -460,9 +461,10 @@ def manifest_latest(s, d):
 
 
 def _difference(s, d):
-    indexed = chunks(s, d, "file_path", "mtime").groupBy(F.col("file_path").alias("relpath")).agg(F.max("mtime").alias("mtime")).withColumn("size", F.lit(0).cast("long"))
-    now = indexing.latest_manifest(table(s, d, "manifest")).withColumn("size", F.lit(0).cast("long"))
-    return indexing.manifest_difference(indexed, now)
+    """From the oldest to the newest version of every file."""
+    m = table(s, d, "manifest").filter("relpath IS NOT NULL AND mtime IS NOT NULL")
+    oldest = m.groupBy("relpath").agg(F.min(F.struct("mtime", F.col("size").isNull().alias("n"), "size")).alias("b")).select("relpath", "b.mtime", "b.size")
+    return indexing.manifest_difference(oldest, indexing.latest_manifest(table(s, d, "manifest")))
 
 
 @query(f"WITH {_DELTA} SELECT relpath, status FROM df WHERE status IS NOT NULL")
@@ -470,10 +472,10 @@ def delta_diff(s, d):
     return _difference(s, d)
 
 
-@query(f"WITH {_DELTA}, f AS (SELECT * FROM c WHERE mtime % 2 = 0), o AS (SELECT * FROM c WHERE file_path NOT IN (SELECT relpath FROM df WHERE status IN ('deleted', 'changed'))), a AS (SELECT id, file_path FROM o UNION ALL SELECT id, file_path FROM f WHERE file_path IN (SELECT relpath FROM df WHERE status IN ('added', 'changed'))) SELECT file_path, count(*) AS chunks FROM a GROUP BY 1")
+@query(f"WITH {_DELTA}, f AS (SELECT * FROM c WHERE file_ext <> '.pdf'), o AS (SELECT * FROM c WHERE file_path NOT IN (SELECT relpath FROM df WHERE status IN ('deleted', 'changed'))), a AS (SELECT id, file_path FROM o UNION ALL SELECT id, file_path FROM f WHERE file_path IN (SELECT relpath FROM df WHERE status IN ('added', 'changed'))) SELECT file_path, count(*) AS chunks FROM a GROUP BY 1")
 def delta_apply(s, d):
-    c = chunks(s, d, "file_path", "mtime").withColumnRenamed("file_path", "relpath")
-    out = indexing.apply_delta(c.select("id", "relpath"), _difference(s, d), c.filter("mtime % 2 = 0").select("id", "relpath"))
+    c = chunks(s, d, "file_path", "file_ext").withColumnRenamed("file_path", "relpath")
+    out = indexing.apply_delta(c.select("id", "relpath"), _difference(s, d), c.filter("file_ext <> '.pdf'").select("id", "relpath"))
     return out.groupBy(F.col("relpath").alias("file_path")).agg(F.count("*").alias("chunks"))
 
 
@@ -514,11 +516,11 @@ def resolve_path(s, d):
     return hints.join(f, "file_name").groupBy("file_name").agg(best).select("file_name", "b.relpath")
 
 
-_SPANS = f"{C}, s AS (SELECT {_PAGE_FILE} AS file, line_start AS a, line_end AS z FROM c WHERE line_start IS NOT NULL AND line_end IS NOT NULL), n AS (SELECT *, CASE WHEN a <= max(z) OVER w + 1 THEN 0 ELSE 1 END AS new_ FROM s WINDOW w AS (PARTITION BY file ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, sum(new_) OVER (PARTITION BY file ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS grp FROM n), ms AS (SELECT file, min(a) AS line_start, max(z) AS line_end, count(*) AS parts FROM g GROUP BY file, grp)"
+_SPANS = f"{C}, s AS (SELECT {_PAGE_FILE} AS file, line_start AS a, line_end AS z FROM c WHERE line_start IS NOT NULL AND line_end IS NOT NULL AND contains(document, 'async def')), n AS (SELECT *, CASE WHEN a <= max(z) OVER w + 1 THEN 0 ELSE 1 END AS new_ FROM s WINDOW w AS (PARTITION BY file ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, sum(new_) OVER (PARTITION BY file ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS grp FROM n), ms AS (SELECT file, min(a) AS line_start, max(z) AS line_end, count(*) AS parts FROM g GROUP BY file, grp)"
 
 
 def _spans(s, d):
-    return chunks(s, d, "line_start", "line_end").withColumn("file", F.regexp_extract("id", r"^(.*)::[^:]*$", 1))
+    return chunks(s, d, "line_start", "line_end", "document").filter(F.col("document").contains("async def")).withColumn("file", F.regexp_extract("id", r"^(.*)::[^:]*$", 1))
 
 
 @query(f"WITH {_SPANS} SELECT * FROM ms")
@@ -609,9 +611,9 @@ def bulk_replace(s, d):
     return textsearch.bulk_replace(docs, "doc_id", "text", edits).select("doc_id", "edits", F.sha1("new_text").alias("sha1"))
 
 
-@query(f"WITH {C}, i AS (SELECT id, contains(document, 'open(') AND NOT contains(document, 'with open(') AS naive_open, contains(document, 'except:') OR contains(document, 'except Exception:') AS broad_except FROM c WHERE file_ext = '.py') SELECT * FROM i WHERE naive_open OR broad_except")
+@query(f"WITH {C}, i AS (SELECT id, contains(document, 'open(') AND NOT contains(document, 'with open(') AS naive_open, contains(document, 'except:') OR contains(document, 'except Exception:') AS broad_except FROM c WHERE file_ext = '.py' AND document IS NOT NULL) SELECT * FROM i")
 def detect_issues(s, d):
-    return code.issues(chunks(s, d, "file_ext", "document").filter("file_ext = '.py'"), "id", "document")
+    return code.issues(chunks(s, d, "file_ext", "document").filter("file_ext = '.py' AND document IS NOT NULL"), "id", "document", only=False)
 
 
 _CALLS = f"""{C}, ln AS (SELECT id, unnest(range(1, len({lines_sql('document')}) + 1)) AS line_no, unnest({lines_sql('document')}) AS line FROM c WHERE file_ext = '.py' AND document IS NOT NULL),
@@ -680,9 +682,9 @@ def history_range(s, d):
 _COLS5 = ("prompt", "answer", "mode", "model", "embedder")
 
 
-@query(f"WITH {H} SELECT id, project FROM ch WHERE " + " OR ".join(f"coalesce({c} ILIKE '%index_page%', false)" for c in _COLS5))
+@query(f"WITH {H} SELECT id, project FROM ch WHERE " + " OR ".join(f"coalesce({c} ILIKE '%merge%rows%', false)" for c in _COLS5))
 def history_search_like(s, d):
-    return history.search_like(chats(s, d), "index_page").select("id", "project")
+    return history.search_like(chats(s, d), "merge%rows").select("id", "project")
 
 
 @query(f"WITH {H} SELECT id, project FROM ch WHERE " + " OR ".join(f"coalesce(regexp_matches({c}, '(?i)merge_[a-z]+_rows'), false)" for c in _COLS5))
@@ -715,9 +717,9 @@ def history_preview(s, d):
     return chats(s, d).select("id", T.one_line(F.col("prompt")).alias("prompt"), T.one_line(F.col("answer")).alias("answer"))
 
 
-@query(f"WITH {H} SELECT id, mode || ' / ' || coalesce(nullif(model, ''), '-') AS engine, id % 7 = 0 AS viewed FROM ch")
+@query(f"WITH {H} SELECT id, mode || ' / ' || coalesce(nullif(model, ''), '-') AS engine, coalesce(streaming, 0) = 1 AS viewed FROM ch")
 def history_grid(s, d):
-    return chats(s, d).select("id", F.concat("mode", F.lit(" / "), F.coalesce(F.nullif("model", F.lit("")), F.lit("-"))).alias("engine"), (F.col("id") % 7 == 0).alias("viewed"))
+    return chats(s, d).select("id", F.concat("mode", F.lit(" / "), F.coalesce(F.nullif("model", F.lit("")), F.lit("-"))).alias("engine"), (F.coalesce("streaming", F.lit(0)) == 1).alias("viewed"))
 
 
 @query(f"WITH {H}, l AS (SELECT *, row_number() OVER (ORDER BY ts, id) AS turn FROM (SELECT * FROM ch ORDER BY ts DESC, id DESC LIMIT 10)), m AS (SELECT turn, 0 AS k, 'user' AS role, prompt AS content FROM l UNION ALL SELECT turn, 1, 'assistant', answer FROM l) SELECT (turn * 2 + k - 1)::BIGINT AS pos, role, content FROM m WHERE trim(coalesce(content, '')) <> ''")

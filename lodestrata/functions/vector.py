@@ -44,4 +44,4 @@ def usable(a: Column, dim: int) -> Column:
 
 def score_from_distance(d: Column) -> Column:
     """1 - d for a distance in [0, 1], else 1 / (1 + d); null gives 0. Not monotone at 1: that is the contract."""
-    return F.coalesce(F.when(d.between(0.0, 1.0), 1.0 - d).otherwise(1.0 / (1.0 + F.greatest(F.lit(0.0), d))), F.lit(0.0))
+    return F.when(d.isNull(), 0.0).when(d.between(0.0, 1.0), 1.0 - d).otherwise(1.0 / (1.0 + F.greatest(F.lit(0.0), d)))

@@ -60,11 +60,11 @@ def structure(code: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return code.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, kind string, name string, line int, parent string")
 
 
-def issues(code: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id_col, naive_open, broad_except)`` of the texts with either."""
+def issues(code: DataFrame, id_col: str, text_col: str, only: bool = True) -> DataFrame:
+    """``(id_col, naive_open, broad_except)`` of the texts with either, or of all."""
     t = F.col(text_col)
     flags = code.select(id_col, (t.contains("open(") & ~t.contains("with open(")).alias("naive_open"), (t.contains("except:") | t.contains("except Exception:")).alias("broad_except"))
-    return flags.filter("naive_open OR broad_except")
+    return flags.filter("naive_open OR broad_except") if only else flags
 
 
 def imports_of(code: DataFrame, id_col: str, text_col: str) -> DataFrame:
