@@ -330,7 +330,7 @@ def found(chunks: DataFrame) -> DataFrame:
 # --- queries -------------------------------------------------------------------------------------------------
 
 
-def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int, k: int = 5, beam: int = 24, width: int = 6, entries: int = 64, max_hops: int = 12, seed: int = 3) -> DataFrame:
+def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int, k: int = 5, beam: int = 24, width: int = 6, entries: int = 512, max_hops: int = 12, seed: int = 3) -> DataFrame:
     """``(query, node, similarity, rank)``: greedy walks over the graph from ``(query, vec)``.
 
     All queries walk at once, a hop being a join with the graph and one with the vectors: each query opens its ``width`` most similar

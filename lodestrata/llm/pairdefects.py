@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.crf import ChainCrf
 
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
-SAMPLE = 2000  # rows the field is fitted to, at most
+SAMPLE = 1200  # rows the field is fitted to, at most
 MAX_WORDS = 100_000  # of the lexicon, a small fixed table
 
 # Words of four languages.
@@ -84,6 +84,7 @@ REFUSALS = {
            ["no puedo ayudarte con eso", "tengo que rechazar esta petición", "no estoy autorizado a responder"],
            ["", ", porque va contra mis normas", ". Pregunta a un profesor"]),
 }
+ASK = {"en": "English", "de": "German", "fr": "French", "es": "Spanish"}
 FRAMING = frozenset("you asked question prompt the your user asks said wrote request du hast gefragt sie haben frage ihre deine vous avez demandé tu as votre la preguntas preguntaste has preguntado usted pregunta su echo query quote here is repeat answer antwort réponse respuesta q a".split())
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\w+")
@@ -324,7 +325,13 @@ def _training(reader: Reader, rows: list[tuple[str, str]], seed: int = 7) -> tup
         elif pick < 0.5:
             others = [v for k, v in by_lang.items() if k != lang]
             if others:
-                add(prompt, rng.choice(rng.choice(others)), 3)
+                away = rng.choice([k for k in by_lang if k != lang])
+                other = rng.choice(by_lang[away])
+                short = clauses_of(other)[0][1] if rng.random() < 0.4 else other
+                add(prompt, short, 3)
+                if rng.random() < 0.5:  # the same, asked for
+                    name = ASK.get(away, away)
+                    add(rng.choice(["Answer in {}, please. {}", "(reply in {}) {}", "Translate into {}: {}"]).format(name, prompt), short, 0)
         elif pick < 0.7:
             frame = rng.choice(["{}", "  {}\n", "You asked: {}", "“{}”", "> {}", "{}\n{}", "Question: {}"])
             add(prompt, rng.choice([str, str.lower, str.upper])(frame.format(prompt, prompt)), 2)
@@ -339,6 +346,8 @@ def _training(reader: Reader, rows: list[tuple[str, str]], seed: int = 7) -> tup
                 add(prompt, text, 1)
         else:
             add(prompt, f"{prompt}\n\n{answer}", [2] * len(clauses_of(prompt)))
+        if rng.random() < 0.1:  # a code block that is never closed
+            add(prompt, f"{answer}\n\n```\n{rng.choice(['x = load(rows)', 'for row in rows:'])}\n    print(row", [0] * len(clauses_of(answer)) + [4])
     return xs, ys
 
 
@@ -346,8 +355,14 @@ def fit(rows: list[tuple[str, str]], lexicon: list[tuple[str, str]]) -> ChainCrf
     """Fits the field; with too few usable rows it falls back to made pairs alone."""
     reader = Reader(lexicon)
     seeds = [
-        ("Why is the index slow?", "The index is slow because the cache is cold. Warm it first."), ("Wo wird die Liste gespeichert?", "Die Liste wird in der Datei gespeichert. Sie ist kurz."),
-        ("Où est la liste ?", "La liste est dans le fichier. Elle est courte."), ("¿Dónde está la lista?", "La lista está en el archivo. Es corta."),
+        ("Why is the index slow?", "The index is slow because the cache is cold. Warm it first and then load the pages of the table again before every run."),
+        ("Where is the list stored?", "The list is stored in the file next to its page. Until the cache is warm, the reader loads every page from the list without any help."),
+        ("Which pages are slow?", "These are slow:\n\n- the page with the long table\n- the list is on a cold page\n- the file of the index"),
+        ("How do I load a table?", "1. warm the cache first\n2. load the pages of the table\n3. the reader keeps the rest"),
+        ("Is the cache warm?", "Yes."), ("How many pages are there?", "42"),
+        ("Wo wird die Liste gespeichert?", "Die Liste wird in der Datei gespeichert. Sie ist kurz, und ohne eine Tabelle bleibt jede Seite auch nach der Pause unklar."),
+        ("Où est la liste ?", "La liste est dans le fichier. Elle est courte, mais sans une page de plus le lecteur charge toute la table après chaque passage."),
+        ("¿Dónde está la lista?", "La lista está en el archivo. Es corta, pero sin una página más la tabla carga toda la carpeta después de cada vuelta."),
     ]
     xs, ys = _training(reader, [*rows, *seeds * 12])
     return ChainCrf.fit(xs, ys, len(LABELS))
