@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
 from lodestrata.operators import chunking, code, graph, history, indexing, intents, retrieval, shaping, textsearch, timeseries
-from lodestrata.session import table
+from lodestrata.session import ensure_checkpoint_dir, table
+from lodestrata.streaming import refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,6 +37,11 @@ def chunks(s: SparkSession, d: str, *columns: str) -> DataFrame:
     return table(s, d, "chunk").select("id", *columns).dropDuplicates(["id"])
 
 
+def chunk_rows(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The chunk rows as delivered, for operators that count an id once themselves."""
+    return table(s, d, "chunk").select("id", *columns)
+
+
 def query_vector(s: SparkSession, d: str, vec_id: int = 0) -> DataFrame:
     return table(s, d, "embeddings").filter(F.col("vec_id") == vec_id).select(F.col("embedding").alias("qv"))
 
@@ -72,24 +78,24 @@ def collapse_sql(c: str) -> str:
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Filtered top-k retrieval with threshold over the chunk table."""
-    rows = chunks(s, d, "embeddings", "file_ext", "lang")
+    rows = chunk_rows(s, d, "embeddings", "file_ext", "lang")
     near = retrieval.nearest(rows, query_vector(s, d), "embeddings", "id", 8, where={"file_ext": {"$in": [".md", ".txt", ".pdf"]}})
     return near.select("id", "file_ext", r6("distance").alias("distance"), r6(V.score_from_distance(F.col("distance"))).alias("score"))
 
 
 @query(f"WITH {DIST} SELECT id, round(distance, 6) AS distance FROM k ORDER BY k.distance, id LIMIT 10")
 def knn_topk(s, d):
-    return retrieval.nearest(chunks(s, d, "embeddings"), query_vector(s, d), "embeddings", "id", 10).select("id", r6("distance").alias("distance"))
+    return retrieval.nearest(chunk_rows(s, d, "embeddings"), query_vector(s, d), "embeddings", "id", 10).select("id", r6("distance").alias("distance"))
 
 
 @query(f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), {C} SELECT id, round(list_sum(list_transform(list_zip(c.embeddings::DOUBLE[], q.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM c, q WHERE {OK} ORDER BY 2, 1 LIMIT 10")
 def knn_l2(s, d):
-    return retrieval.nearest(chunks(s, d, "embeddings"), query_vector(s, d), "embeddings", "id", 10, metric="l2sq").select("id", r6("distance").alias("distance"))
+    return retrieval.nearest(chunk_rows(s, d, "embeddings"), query_vector(s, d), "embeddings", "id", 10, metric="l2sq").select("id", r6("distance").alias("distance"))
 
 
 @query(f"WITH {DIST} SELECT id, round(distance, 6) AS distance, round({SCORE}, 6) AS score FROM k")
 def score_from_distance(s, d):
-    k = retrieval.distances(chunks(s, d, "embeddings"), query_vector(s, d), "embeddings", 64)
+    k = retrieval.distances(chunk_rows(s, d, "embeddings"), query_vector(s, d), "embeddings", 64).dropDuplicates(["id"])
     return k.select("id", r6("distance").alias("distance"), r6(V.score_from_distance(F.col("distance"))).alias("score"))
 
 
@@ -102,13 +108,13 @@ def score_hits(s, d):
 @query(f"WITH {DIST} SELECT id, file_ext, lang, round(distance, 6) AS distance, round({SCORE}, 6) AS score FROM k WHERE file_ext IN ('.md', '.txt') AND lang = 'de' ORDER BY k.distance, id LIMIT 8")
 def retrieve_where(s, d):
     where = {"$and": [{"file_ext": {"$in": [".md", ".txt"]}}, {"lang": "de"}]}
-    near = retrieval.nearest(chunks(s, d, "embeddings", "file_ext", "lang"), query_vector(s, d), "embeddings", "id", 8, where=where)
+    near = retrieval.nearest(chunk_rows(s, d, "embeddings", "file_ext", "lang"), query_vector(s, d), "embeddings", "id", 8, where=where)
     return near.select("id", "file_ext", "lang", r6("distance").alias("distance"), r6(V.score_from_distance(F.col("distance"))).alias("score"))
 
 
 @query(f"WITH {DIST} SELECT id, round(distance, 6) AS distance, round({SCORE}, 6) AS score FROM k WHERE {SCORE} >= 0.35")
 def retrieve_threshold(s, d):
-    k = retrieval.distances(chunks(s, d, "embeddings"), query_vector(s, d), "embeddings", 64)
+    k = retrieval.distances(chunk_rows(s, d, "embeddings"), query_vector(s, d), "embeddings", 64).dropDuplicates(["id"])
     k = k.withColumn("score", V.score_from_distance(F.col("distance"))).filter("score >= 0.35")
     return k.select("id", r6("distance").alias("distance"), r6("score").alias("score"))
 
@@ -119,16 +125,18 @@ _SYMB = "(contains(lower(coalesce(name, '')), 'journal') OR contains(lower(coale
 
 @query(f"WITH {DIST} SELECT id, round({SCORE}, 6) AS base_score, round(({SCORE}) * 1.2, 6) AS score FROM (SELECT * FROM k ORDER BY distance, id LIMIT 400) WHERE {_FILE}")
 def boost_filename(s, d):
-    rows = chunks(s, d, "embeddings", "file_path", "relpath")
-    wide = retrieval.nearest(rows, query_vector(s, d), "embeddings", "id", 400).filter(retrieval.mentions_file(retrieval.file_candidates("see 'work_journal.txt'")))
+    hit = retrieval.mentions_file(retrieval.file_candidates("see 'work_journal.txt'")).alias("hit")
+    rows = chunk_rows(s, d, "embeddings", "file_path", "relpath").select("id", "embeddings", hit)
+    wide = retrieval.nearest(rows, query_vector(s, d), "embeddings", "id", 400).filter("hit")
     sc = V.score_from_distance(F.col("distance"))
     return wide.select("id", r6(sc).alias("base_score"), r6(sc * 1.2).alias("score"))
 
 
 @query(f"WITH {DIST} SELECT id, round({SCORE}, 6) AS base_score, round(({SCORE}) * 1.3, 6) AS score FROM (SELECT * FROM k ORDER BY distance, id LIMIT 400) WHERE {_SYMB}")
 def boost_symbol(s, d):
-    rows = chunks(s, d, "embeddings", "name", "symbols", "document")
-    wide = retrieval.nearest(rows, query_vector(s, d), "embeddings", "id", 400).filter(retrieval.mentions_symbol(retrieval.symbol_candidates("what does Journal do")))
+    hit = retrieval.mentions_symbol(retrieval.symbol_candidates("what does Journal do")).alias("hit")
+    rows = chunk_rows(s, d, "embeddings", "name", "symbols", "document").select("id", "embeddings", hit)
+    wide = retrieval.nearest(rows, query_vector(s, d), "embeddings", "id", 400).filter("hit")
     sc = V.score_from_distance(F.col("distance"))
     return wide.select("id", r6(sc).alias("base_score"), r6(sc * 1.3).alias("score"))
 
@@ -144,7 +152,7 @@ def boost_symbol(s, d):
     SELECT id, rank, round(score, 6) AS score, boosted FROM o WHERE rank <= 8"""
 )
 def retrieve_full(s, d):
-    rows = chunks(s, d, "embeddings", "file_ext", "file_path", "relpath", "name", "symbols", "document")
+    rows = chunk_rows(s, d, "embeddings", "file_ext", "file_path", "relpath", "name", "symbols", "document")
     out = retrieval.retrieve(
         rows, query_vector(s, d), "embeddings", "id", 8, where={"file_ext": {"$in": [".md", ".txt"]}}, min_score=0.2,
         files=retrieval.file_candidates("'work_journal.txt'"), symbols=retrieval.symbol_candidates("about Journal"),
@@ -154,7 +162,7 @@ def retrieve_full(s, d):
 
 @query(f"WITH {DIST}, b AS (SELECT id, {SCORE} AS score FROM (SELECT * FROM k ORDER BY distance, id LIMIT 50)), e AS (SELECT id, max(score) * 1.15 AS score FROM hits WHERE id IS NOT NULL AND score IS NOT NULL GROUP BY id) SELECT id, round(max(score), 9) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM e) GROUP BY id")
 def merge_by_id(s, d):
-    near = retrieval.nearest(chunks(s, d, "embeddings"), query_vector(s, d), "embeddings", "id", 50).select("id", V.score_from_distance(F.col("distance")).alias("score"))
+    near = retrieval.nearest(chunk_rows(s, d, "embeddings"), query_vector(s, d), "embeddings", "id", 50).select("id", V.score_from_distance(F.col("distance")).alias("score"))
     extra = table(s, d, "hits").filter("score IS NOT NULL").groupBy("id").agg(F.max("score").alias("score"))
     return retrieval.merge_best(near, extra, "id").select("id", F.round("score", 9).alias("score"))
 
@@ -195,7 +203,7 @@ def route_relax(s, d):
 
 @query(f"WITH {DIST}, t AS (SELECT *, {SCORE} AS s FROM (SELECT * FROM k ORDER BY distance, id LIMIT 40)) SELECT coalesce(file_path, relpath, '?') AS file, round(sum(s), 3) AS score FROM t GROUP BY 1 ORDER BY sum(s) DESC, 1 LIMIT 10")
 def grounding_summary(s, d):
-    top = retrieval.nearest(chunks(s, d, "embeddings", "file_path", "relpath"), query_vector(s, d), "embeddings", "id", 40)
+    top = retrieval.nearest(chunk_rows(s, d, "embeddings", "file_path", "relpath"), query_vector(s, d), "embeddings", "id", 40)
     g = top.groupBy(F.coalesce("file_path", "relpath", F.lit("?")).alias("file")).agg(F.sum(V.score_from_distance(F.col("distance"))).alias("s"))
     return g.orderBy(F.desc("s"), "file").limit(10).select("file", F.round("s", 3).alias("score"))
 
@@ -206,7 +214,7 @@ _THREE = f"""{C}, q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN
 
 @query(f"WITH {_THREE}, t AS (SELECT * FROM r WHERE rn <= 20), f AS (SELECT id, min(vec_id * 1000 + rn) AS o FROM t GROUP BY id) SELECT t.id, t.vec_id AS first_query, round({SCORE}, 6) AS score FROM f JOIN t ON t.id = f.id AND t.vec_id * 1000 + t.rn = f.o")
 def multi_query_dedupe(s, d):
-    rows = chunks(s, d, "embeddings")
+    rows = chunk_rows(s, d, "embeddings")
     lists = None
     for v in (0, 1, 2):
         near = retrieval.nearest(rows, query_vector(s, d, v), "embeddings", "id", 20).withColumn("first_query", F.lit(v))
@@ -224,17 +232,17 @@ def exemplars_topn(s, d):
 
 @query(f"WITH {C}, v AS (SELECT id, embeddings::DOUBLE[] AS e FROM c WHERE {OK}), m AS (SELECT id, list_avg(e) AS mean, list_avg(list_transform(e, lambda x: x * x)) - list_avg(e) ^ 2 AS var FROM v) SELECT id, round(mean, 6) AS mean, round(var, 6) AS var, var >= 1e-12 AS valid FROM m")
 def vector_guard(s, d):
-    v = chunks(s, d, "embeddings").filter(V.usable(F.col("embeddings"), 64))
+    v = chunk_rows(s, d, "embeddings").filter(V.usable(F.col("embeddings"), 64))
     m, x = V.mean(F.col("embeddings")), V.variance(F.col("embeddings"))
-    return v.select("id", r6(m).alias("mean"), r6(x).alias("var"), (x >= 1e-12).alias("valid"))
+    return v.select("id", r6(m).alias("mean"), r6(x).alias("var"), (x >= 1e-12).alias("valid")).dropDuplicates(["id"])
 
 
 @query(f"WITH {DIST} SELECT id, round({SCORE} * CASE WHEN contains(lower(coalesce(chunk_type, '')), 'heading') THEN 1.15 ELSE 1.0 END * CASE WHEN contains(lower(coalesce(document, '')), 'general instruction') OR contains(lower(coalesce(document, '')), 'section a') THEN 1.1 ELSE 1.0 END, 6) AS score FROM k")
 def rerank_heading(s, d):
-    k = retrieval.distances(chunks(s, d, "embeddings", "chunk_type", "document"), query_vector(s, d), "embeddings", 64)
+    k = retrieval.distances(chunk_rows(s, d, "embeddings", "chunk_type", "document"), query_vector(s, d), "embeddings", 64)
     low = F.lower(F.coalesce("document", F.lit("")))
     f = F.when(F.lower(F.coalesce("chunk_type", F.lit(""))).contains("heading"), 1.15).otherwise(1.0) * F.when(low.contains("general instruction") | low.contains("section a"), 1.1).otherwise(1.0)
-    return k.select("id", r6(V.score_from_distance(F.col("distance")) * f).alias("score"))
+    return k.select("id", r6(V.score_from_distance(F.col("distance")) * f).alias("score")).dropDuplicates(["id"])
 
 
 # --- shaping ---------------------------------------------------------------------------------------------------
@@ -882,3 +890,25 @@ def ext_part_supplier(s, d):
 @query()
 def ext_approx_distinct(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"), F.expr("percentile_approx(value, 0.9, 1000)").alias("p90"))
+
+
+# --- streaming ------------------------------------------------------------------------------------------------------------
+
+_WINDOWS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
+
+@query(_WINDOWS)
+def ext_event_windows(s, d):
+    return refresh.event_windows(table(s, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(_WINDOWS)
+def stream_event_windows(s, d):
+    """The same windows, by a stream that reads the events table as arriving files."""
+    import uuid
+
+    name = f"stream_event_windows_{uuid.uuid4().hex[:8]}"
+    events = table(s, d, "events")
+    stream = s.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")
+    out = refresh.drain(refresh.event_windows(stream), name, f"{ensure_checkpoint_dir(s)}/{name}")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -46,8 +46,11 @@ def distances(rows: DataFrame, query: DataFrame, vector_col: str, dim: int, metr
 
 
 def nearest(rows: DataFrame, query: DataFrame, vector_col: str, id_col: str, k: int, dim: int = 64, metric: str = "cosine", where: dict[str, Any] | None = None) -> DataFrame:
-    """The k nearest rows by distance, then id: a partial top-k in every task, no shuffle of the table."""
-    return distances(rows.filter(compile_where(where)), query, vector_col, dim, metric).orderBy("distance", id_col).limit(k)
+    """The k nearest rows by distance, then id; rows with the same id count once.
+
+    Vectors stay where they are read: only what is left without them is brought together by id, and of that every task sends its k best.
+    """
+    return distances(rows.filter(compile_where(where)), query, vector_col, dim, metric).dropDuplicates([id_col]).orderBy("distance", id_col).limit(k)
 
 
 def symbol_candidates(text: str) -> list[str]:
@@ -95,6 +98,7 @@ def retrieve(
     flag_s = mentions_symbol(symbols or []) if symbols else F.lit(False)
     scored = distances(rows.withColumn("passes", F.coalesce(cond, F.lit(False))), query, vector_col, dim)
     slim = scored.select(id_col, "distance", "passes", flag_f.alias("has_file"), flag_s.alias("has_symbol")) if extra else scored
+    slim = slim.dropDuplicates([id_col])
     top = lambda df, n: df.orderBy("distance", id_col).limit(n)
     base = top(slim.filter("passes"), k).select(id_col, "distance", F.lit(1.0).alias("factor"))
     parts = [base]
