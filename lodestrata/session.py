@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,20 @@ def get_session(app: str = "lodestrata", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so that their Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestrata_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="lodestrata-package-")) / "lodestrata.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._lodestrata_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
