@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
-from lodestrata.operators import chunking, code, graph, history, indexing, intents, retrieval, shaping, textsearch, timeseries
+from lodestrata.operators import chunking, code, graph, history, indexing, intents, retrieval, rewriting, shaping, textsearch, timeseries
+from lodestrata.plans import packs
 from lodestrata.session import ensure_checkpoint_dir, table
+from lodestrata.sources import corpus
 from lodestrata.streaming import refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -912,3 +914,40 @@ def stream_event_windows(s, d):
     stream = s.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")
     out = refresh.drain(refresh.event_windows(stream), name, f"{ensure_checkpoint_dir(s)}/{name}")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# --- rewriting ------------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\((\d{1,2}) marks?\)', 1)) AS n, list_sum(list_transform(regexp_extract_all(text, '\((\d{1,2}) marks?\)', 1), lambda x: x::INT))::INT AS marks FROM documents WHERE regexp_matches(text, '\((\d{1,2}) marks?\)')""")
+def paper_marks(s, d):
+    return rewriting.marked_totals(table(s, d, "documents"), "doc_id", "text").select("doc_id", F.col("n").cast("long").alias("n"), "marks")
+
+
+@query(rf"""SELECT doc_id, sha1(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '\\\((.*?)\\\)', '$\1$', 'g'), '(?s)\\\[(.*?)\\\]', '$$\1$$', 'g'), '²', '^2'), '³', '^3'), '¹', '^1'), '₀', '_0'), '₁', '_1'), '₂', '_2'), 'â€™', '’'), 'â€œ', '“')) AS sha1 FROM documents WHERE text IS NOT NULL""")
+def latex_normalize(s, d):
+    return table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.sha1(rewriting.plain_formulas(F.col("text"))).alias("sha1"))
+
+
+@query(rf"""WITH {H} SELECT id, regexp_extract(prompt, '(?i)\b(?:replace|substitute|refactor)\s+[\x22\x27`]?([\w.]+)[\x22\x27`]?\s+(?:with|by|so)\s+[\x22\x27`]?([\w.]+)', 1) AS find, regexp_extract(prompt, '(?i)\b(?:replace|substitute|refactor)\s+[\x22\x27`]?([\w.]+)[\x22\x27`]?\s+(?:with|by|so)\s+[\x22\x27`]?([\w.]+)', 2) AS replacement FROM ch WHERE regexp_matches(prompt, '(?i)\b(?:replace|substitute|refactor)\s+[\x22\x27`]?([\w.]+)[\x22\x27`]?\s+(?:with|by|so)\s+[\x22\x27`]?([\w.]+)')""")
+def parse_command(s, d):
+    c = chats(s, d).select("id", rewriting.replace_command(F.col("prompt")).alias("c")).filter("c IS NOT NULL")
+    return c.select("id", "c.find", "c.replacement")
+
+
+@query(rf"""WITH {H} SELECT id, regexp_extract(prompt, '(?i)(\d{{1,4}}) (?:questions?|fragen|preguntas)', 1)::INT AS wanted FROM ch WHERE regexp_matches(prompt, '(?i)(\d{{1,4}}) (?:questions?|fragen|preguntas)')""")
+def wanted_counts(s, d):
+    return chats(s, d).select("id", rewriting.wanted_counts(F.col("prompt")).alias("wanted")).filter("wanted IS NOT NULL")
+
+
+@query(f"WITH {C} SELECT id, length(replace(document, chr(13), '')) AS n FROM c WHERE document IS NOT NULL")
+def read_doc(s, d):
+    c = chunks(s, d, "document").filter("document IS NOT NULL")
+    return c.select("id", F.length(F.replace(corpus.decoded(F.encode("document", "UTF-8")), F.lit("\r"), F.lit(""))).cast("long").alias("n"))
+
+
+@query(f"WITH {_SHAPED}, h AS (SELECT id, max(score) AS score FROM hits WHERE id IS NOT NULL AND score IS NOT NULL GROUP BY id), j AS (SELECT sh.bucket, h.id, h.score, row_number() OVER (PARTITION BY sh.bucket ORDER BY h.score DESC, h.id) AS rn FROM h JOIN sh USING (id)) SELECT bucket, id, score, rn FROM j WHERE rn <= 3")
+def best_per_bucket(s, d):
+    h = table(s, d, "hits").filter("id IS NOT NULL AND score IS NOT NULL").groupBy("id").agg(F.max("score").alias("score"))
+    c = chunks(s, d, "chunk_type", "name", "document").select("id", shaping.inferred_bucket(F.col("chunk_type"), F.col("name"), F.col("document")).alias("bucket"))
+    return packs.best_per_bucket(h.join(c, "id"), 3).select("bucket", "id", "score", "rn")
