@@ -45,6 +45,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, least: int = 1) -> int:
+    """Partitions for a shuffle in front of heavy work: a number that is given isn't coalesced to the size of the data."""
+    conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(conf, 2 * spark.sparkContext.defaultParallelism, least)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
