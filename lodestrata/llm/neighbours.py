@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.session import cut_lineage
+from lodestrata.session import cut_lineage, wide
 
 SAMPLE = 20_000  # vectors on which the partitions are fitted, at most
-BLOCK = 3072  # vectors compared with each other at once
+BLOCK = 32768  # vectors compared with each other, at most
 HEARD = 64  # vectors of one node's list compared with each other at once
 
 
@@ -117,13 +117,13 @@ def _fit_trees(sample: np.ndarray, trees: int, depth: int, seed: int) -> list[li
     return out
 
 
-def _blocks(nodes: DataFrame, dim: int, trees: int, block: int, seed: int) -> DataFrame:
-    """``(leaf, node, small)``: a row for each vector and tree."""
+def _blocks(nodes: DataFrame, dim: int, trees: int, block: int, seed: int) -> tuple[DataFrame, int]:
+    """``(leaf, node, small)``: a row for each vector and tree, and the number of leaves."""
     n = nodes.count()
     fraction = min(1.0, SAMPLE / max(1, n) * 1.1)
     rows = nodes.sample(False, fraction, seed).select("vec").limit(SAMPLE).collect() if n > block else []
     sample = np.frombuffer(b"".join(bytes(r.vec) for r in rows), dtype=np.float32).reshape(-1, dim)
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / (block * 0.75)))))
+    depth = max(0, round(np.log2(max(1, n) / (block * 0.75))))
     fitted = min(depth, int(np.log2(max(1, len(sample) / 16)))) if len(sample) else 0
     model = _fit_trees(sample, trees, fitted, seed)
     rng = np.random.default_rng(seed + 1)
@@ -141,20 +141,34 @@ def _blocks(nodes: DataFrame, dim: int, trees: int, block: int, seed: int) -> Da
                     place = place * 2 + (x @ direction > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(place * trees + t), b.column(0), small], names=["leaf", "node", "small"])
 
-    return nodes.select("node", "vec").mapInArrow(run, "leaf bigint, node bigint, small binary")
+    return nodes.select("node", "vec").mapInArrow(run, "leaf bigint, node bigint, small binary"), trees << depth
 
 
-def _compare_blocks(blocks: DataFrame, dim: int, keep: int, block: int) -> DataFrame:
+def _top(s: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest of each row: first the groups of 32 with the largest maxima, which hold them all, then within these."""
+    m = s.shape[1]
+    groups = m // 32
+    if groups <= 2 * k:
+        return np.argpartition(-s, k - 1, axis=1)[:, :k] if k < m else np.argsort(-s, axis=1)[:, :k]
+    best = s[:, : groups * 32].reshape(len(s), groups, 32).max(axis=2)
+    own = np.argpartition(-best, k - 1, axis=1)[:, :k]
+    cols = (own[:, :, None] * 32 + np.arange(32)).reshape(len(s), -1)
+    cols = np.concatenate((cols, np.broadcast_to(np.arange(groups * 32, m), (len(s), m - groups * 32))), axis=1)
+    some = np.take_along_axis(s, cols, 1)
+    return np.take_along_axis(cols, np.argpartition(-some, k - 1, axis=1)[:, :k], 1)
+
+
+def _compare_blocks(blocks: DataFrame, dim: int, keep: int, block: int, leaves: int) -> DataFrame:
     """``(node, other, sim)``: the most similar ones of each node within its block; larger leaves are several blocks."""
 
     def best(nodes: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         m = len(nodes)
         k = min(keep, m - 1)
         rows, cols, sims = [], [], []
-        for a in range(0, m, 1024):
-            s = x[a : a + 1024] @ x.T
+        for a in range(0, m, 256):
+            s = x[a : a + 256] @ x.T
             s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < m - 1 else np.argsort(-s, axis=1)[:, :k]
+            top = _top(s, k)
             rows.append(np.repeat(nodes[a : a + len(s)], k))
             cols.append(nodes[top].reshape(-1))
             sims.append(np.take_along_axis(s, top, 1).reshape(-1))
@@ -192,7 +206,7 @@ def _compare_blocks(blocks: DataFrame, dim: int, keep: int, block: int) -> DataF
                         yield from flush()
         yield from flush()
 
-    ordered = blocks.repartition("leaf").sortWithinPartitions("leaf")
+    ordered = blocks.repartition(wide(blocks.sparkSession, min(4096, 3 * leaves)), "leaf").sortWithinPartitions("leaf")
     return ordered.mapInArrow(run, "node bigint, other bigint, sim float")
 
 
@@ -252,7 +266,7 @@ def _descend(nodes: DataFrame, graph: DataFrame, dim: int, keep: int, links: int
         if rest is not None and len(rest[0]):
             yield from compare(*rest[1:], *_parts(rest[0]))
 
-    ordered = heard.repartition("center").sortWithinPartitions("center")
+    ordered = heard.repartition(wide(heard.sparkSession), "center").sortWithinPartitions("center")
     return ordered.mapInArrow(run, "node bigint, other bigint, sim float")
 
 
@@ -270,7 +284,8 @@ def _parts(centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def neighbour_graph(nodes: DataFrame, dim: int, keep: int = 10, trees: int = 5, rounds: int = 1, links: int = 4, block: int = BLOCK, seed: int = 5) -> DataFrame:
     """``(node, nbrs array<struct<sim, other>>)`` over ``(node, vec)``, best first; ``sim`` is of the compressed vectors."""
-    pairs = _compare_blocks(_blocks(nodes, dim, trees, block, seed), dim, min(keep, 8), block)
+    blocks, leaves = _blocks(nodes, dim, trees, block, seed)
+    pairs = _compare_blocks(blocks, dim, min(keep, 8), block, leaves)
     graph = cut_lineage(_keep_best(pairs, keep, few=True))  # at most 8 a tree
     for _ in range(rounds):
         known = graph.select("node", F.explode("nbrs").alias("n")).select("node", F.col("n.other").alias("other"), F.col("n.sim").alias("sim"))
