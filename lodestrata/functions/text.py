@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 #: white space of Unicode, spelled out so that every regex dialect reads it alike
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+INK = "[^" + WS[1:]
 #: line ends of Python's splitlines
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends (Spark's trim takes spaces only)."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.regexp_extract(c, rf"(?s){INK}.*{INK}|{INK}", 0)
 
 
 def collapse(c: Column) -> Column:
@@ -29,9 +30,8 @@ def split_lines(c: Column) -> Column:
 
 
 def is_meaningful(c: Column, least: int = 8) -> Column:
-    """At least ``least`` characters and one ASCII letter or digit."""
-    s = strip(F.coalesce(c, F.lit("")))
-    return (F.length(s) >= least) & s.rlike("[A-Za-z0-9]")
+    """At least ``least`` (two or more) characters without white space at the ends, and one ASCII letter or digit."""
+    return F.coalesce(c.rlike(rf"(?s){INK}.{{{least - 2},}}{INK}") & c.rlike("[A-Za-z0-9]"), F.lit(False))
 
 
 def truncate(c: Column, n: int) -> Column:
