@@ -365,11 +365,21 @@ def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: in
             q = b.column(0).take(pa.array(np.repeat(np.arange(len(s)), m)))
             yield pa.RecordBatch.from_arrays([q, pa.array(e_nodes[top].reshape(-1)), pa.array(np.take_along_axis(s, top, 1).reshape(-1))], names=["query", "node", "similarity"])
 
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _pack_bytes(_compress(_matrix(b.column(1), dim)))], names=["node", "small"])
+
     def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.einsum("ij,ij->i", _matrix(b.column(2), dim).astype(np.float64), _matrix(b.column(3), dim).astype(np.float64))
+            s = np.einsum("ij,ij->i", _expand(b.column(2), dim), _matrix(b.column(3), dim)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["query", "node", "similarity"])
 
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = np.einsum("ij,ij->i", _matrix(b.column(2), dim).astype(np.float64), _matrix(b.column(3), dim).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.clip(s, -1, 1))], names=["query", "node", "similarity"])
+
+    small = cut_lineage(nodes.select("node", "vec").mapInArrow(shrink, "node bigint, small binary"))  # a quarter to walk on
     fields = f"query {kind}, node bigint, similarity double"
     step = graph.select("node", F.explode("nbrs").alias("n")).select("node", F.col("n.other").alias("next"))
     step = cut_lineage(step.unionByName(step.select(F.col("next").alias("node"), F.col("node").alias("next"))).distinct())
@@ -381,12 +391,13 @@ def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: in
         held = held.withColumn("now", (~F.col("open")) & (turn <= width))
         new = held.filter("now").join(step, "node").select("query", F.col("next").alias("node")).distinct()
         new = new.join(held.select("query", "node"), ["query", "node"], "left_anti")
-        scored = new.join(nodes.select("node", "vec"), "node").join(q, "query").select("query", "node", "vec", "qv").mapInArrow(dots, fields)
+        scored = new.join(small, "node").join(q, "query").select("query", "node", "small", "qv").mapInArrow(dots, fields)
         both = held.select("query", "node", "similarity", (F.col("open") | F.col("now")).alias("open")).unionByName(scored.withColumn("open", F.lit(False)))
         held = cut_lineage(both.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= beam).drop("rn"))
         if held.filter("NOT open").isEmpty():
             break
-    return held.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query", "node", "similarity", "rank")
+    final = held.select("query", "node").join(nodes.select("node", "vec"), "node").join(q, "query").select("query", "node", "vec", "qv").mapInArrow(exact, fields)
+    return final.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query", "node", "similarity", "rank")
 
 
 def search(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, dim: int = 64, k: int = 5, **graph_options: int) -> DataFrame:

@@ -12,7 +12,8 @@ from lodestrata.session import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda s, d: neighbours.found(table(s, d, "chunk")),
     "p1_neighbours": lambda s, d: neighbours.most_similar(table(s, d, "chunk")),
-    "p1_search": lambda s, d: neighbours.search(table(s, d, "embeddings"), "vec_id", "embedding", table(s, d, "embeddings").filter("vec_id % 100 = 0")),
+    # ids are texts here: the queries are the rows whose hashed id is divisible by 100, searched in all rows
+    "p1_search": lambda s, d: neighbours.search(table(s, d, "chunk"), "id", "embeddings", table(s, d, "chunk").filter("pmod(xxhash64(id), 100) = 0")),
     "p2_found": lambda s, d: docpairs.found(table(s, d, "chunk")),
     "p2_pairs": lambda s, d: docpairs.document_pairs(table(s, d, "chunk")),
     "p3_found": lambda s, d: neardup.found(table(s, d, "chunk")),
