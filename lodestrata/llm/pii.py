@@ -11,6 +11,8 @@ initials beside a word that is no word of the lexicon. Of overlapping finds the
 The tables ``given_names`` and ``lexicon`` are small and fixed (at most ``MAX_WORDS`` rows of each are read; more raise an
 error); they are incomplete, so an unknown capitalised word counts as a given name where a title or an announcing
 word stands before it or where both words of the pair are unknown, and as a family name wherever the lexicon doesn't know it.
+What all documents say about a word decides doubtful pairs only (``learn``): endings of family names, where no listed given name and no
+title stands before the word, and products named after a given name, such as a fixed second word that follows one given name nearly always.
 
 Defined results: null and empty texts stay as they are and give no finds; repeated rows are texts of their own; finds of one row
 are distinct (kind, text) pairs in ``found``; other columns are ignored.
@@ -19,6 +21,7 @@ are distinct (kind, text) pairs in ``found``; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import cut_lineage
+
 KINDS = ("email", "id_number", "address", "phone", "name")
 MAX_WORDS = 100_000
 ENDING = 3  # letters of a family name's ending
-SAMPLE = 20_000  # documents from which endings are learned, at most
 GIVEN_PER_ENDING = 3  # different given names that must precede an ending
+ENDING_SHARE = 0.1  # and so many of those that precede the best ending, so that chance finds in large tables don't count
+PRODUCT_USES = 10  # documents with a given name and a fixed second word that make a product
+PRODUCT_SHARE = 0.95  # share of those in all that have the second word where a family name may stand
 
 # Words of the local parsers.
 AT_WORDS = ("at", "arroba", "arobase", "ät", "chez")
@@ -125,10 +132,11 @@ _POSTCODE_AT = re.compile(_POSTCODE)
 class Finder:
     """Finds personal information in a text."""
 
-    def __init__(self, given: list[str], words: list[str], endings: frozenset[str] = frozenset()):
+    def __init__(self, given: list[str], words: list[str], endings: frozenset[str] = frozenset(), products: frozenset[tuple[str, str]] = frozenset()):
         import ahocorasick
 
         self.endings = endings
+        self.products = products
 
         self.given = {g.lower() for g in given}
         self.words = set(words)
@@ -265,12 +273,13 @@ class Finder:
                 return m.span()
         return None
 
-    def _family_ok(self, family: str) -> bool:
-        """Unknown to the lexicon and, once endings have been learned, with an ending that family names have here."""
-        if not self._unknown(family):
-            return False
+    def _known_ending(self, family: str) -> bool:
+        """Whether the word ends as family names do here; anything does as long as no endings have been learned."""
         return not self.endings or any(p.lower()[-ENDING:] in self.endings for p in re.split(r"[-‐‑]", family))
 
+    def _listed(self, given: str) -> bool:
+        return given in self.given or ("-" in given and all(p in self.given for p in given.split("-")))
+
     def _names(self, text: str, spans: list[tuple[int, int, str]]) -> None:
         taken = [(a, b) for a, b, _ in spans]
 
@@ -284,37 +293,49 @@ class Finder:
             at = m.start("given")  # what comes after the comma may be the family name of another match
             family, given, lead = m["family"], m["given"], m["lead"].strip().lower()
             low = family.lower()
-            if low in ANNOUNCING or low in self.given or not self._family_ok(family):
+            if low in ANNOUNCING or low in self.given or not self._unknown(family):
                 continue
             # a lone "von" or "de" before the name may announce it instead of belonging to it
             announces = lead in ANNOUNCING and not self._announced(text, m.start())
-            if given.lower() in self.given or ((given.endswith(".") or self._unknown(given)) and (lead or self._announced(text, m.start()))):
+            doubtful = not self._known_ending(family) and not self._announced(text, m.start(), TITLES)
+            if given.lower() in self.given or (not doubtful and (given.endswith(".") or self._unknown(given)) and (lead or self._announced(text, m.start()))):
                 add(m.start("family") if announces else m.start(), m.end())
                 at = m.end()
         for g in _PAIR.finditer(text):
             low = g["given"].lower()
             m = _NAME_AFTER_GIVEN.match(text, g.end())
-            if not m or low in TITLES or low in ANNOUNCING or not self._family_ok(m["family"]):
+            if not m or low in TITLES or low in ANNOUNCING or not self._unknown(m["family"]):
                 continue
-            known = low in self.given or ("-" in low and all(p in self.given for p in low.split("-")))
-            plain = m.start("family") - g.end() <= 4 or m["middle"]
-            if known or (self._unknown(g["given"]) and (self._announced(text, g.start()) or (plain and self.endings and low[-ENDING:] not in self.endings))):
-                add(g.start(), m.end())
+            if self._listed(low):
+                if (low, m["family"].lower()) not in self.products or self._announced(text, g.start(), TITLES):
+                    add(g.start(), m.end())
+            elif self._unknown(g["given"]):
+                plain = m.start("family") - g.end() <= 4 or m["middle"]
+                family_first = self.endings and low[-ENDING:] in self.endings  # then the second word belongs to what follows, unless it ends as a family name does
+                if self._known_ending(m["family"]):
+                    if self._announced(text, g.start()) or (plain and self.endings and not family_first):
+                        add(g.start(), m.end())
+                elif not family_first and self._announced(text, g.start(), TITLES):
+                    add(g.start(), m.end())
         for m in _NAME_BY_INITIALS.finditer(text):
-            if self._family_ok(m["family"]) and m["family"].lower() not in self.given:
+            if self._unknown(m["family"]) and m["family"].lower() not in self.given:
                 add(*m.span())
 
-    def _announced(self, text: str, at: int) -> bool:
+    def _announced(self, text: str, at: int, by: tuple[str, ...] = (*TITLES, *ANNOUNCING)) -> bool:
         before = re.search(r"([^\W\d]+)[\W_]{1,4}$", text[max(0, at - 24) : at])
-        return bool(before) and before[1].strip("_").lower() in {*TITLES, *ANNOUNCING}
+        return bool(before) and before[1].strip("_").lower() in by
 
-    def endings_seen(self, text: str) -> set[tuple[str, str]]:
-        """(ending of the word, given name) wherever an unknown capitalised word follows a listed given name."""
+    def uses(self, text: str) -> set[tuple[str, str, bool]]:
+        """(unknown word, listed given name before it or "", plain) of pairs whose second word may be a family name; plain: nothing but the given name says so."""
         out = set()
         for g in _PAIR.finditer(text):
             low = g["given"].lower()
-            if low in self.given and (m := _NAME_AFTER_GIVEN.match(text, g.end())) and self._unknown(m["family"]):
-                out.add((m["family"].lower()[-ENDING:], low))
+            if low not in self.words and (m := _NAME_AFTER_GIVEN.match(text, g.end())) and self._unknown(m["family"]):
+                if self._listed(low):
+                    plain = text[g.end() : m.start("family")].isspace() and not self._announced(text, g.start())
+                    out.add((m["family"].lower(), low, plain))
+                else:
+                    out.add((m["family"].lower(), "", False))
         return out
 
 
@@ -335,27 +356,50 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 @lru_cache(maxsize=2)
-def _finder(given: tuple[str, ...], words: tuple[str, ...], endings: tuple[str, ...] = ()) -> Finder:
-    return Finder(list(given), list(words), frozenset(endings))
+def _finder(given: tuple[str, ...], words: tuple[str, ...], endings: tuple[str, ...] = (), products: tuple[tuple[str, str], ...] = ()) -> Finder:
+    return Finder(list(given), list(words), frozenset(endings), frozenset(products))
 
 
-def learn_endings(docs: DataFrame, given: tuple[str, ...], words: tuple[str, ...], text_col: str = "text", sample: int = SAMPLE) -> tuple[str, ...]:
-    """Endings of family names: those that follow at least ``GIVEN_PER_ENDING`` different listed given names in at most ``sample`` documents.
-
-    Product names such as a given name with a fixed second word follow one given name only. At most 26 ** ENDING values, in practice some dozens.
-    """
+def _uses(docs: DataFrame, given: tuple[str, ...], words: tuple[str, ...], text_col: str) -> DataFrame:
+    """``(word, given, plain, docs)``: in how many of all documents ``Finder.uses`` sees each use of a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder(given, words)
         for b in batches:
-            seen = set().union(*(finder.endings_seen(t) for t in b.column(0).to_pylist() if t))
-            pairs = sorted(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], type=pa.string()), pa.array([p[1] for p in pairs], type=pa.string())], names=["ending", "given"])
+            n = Counter(u for t in b.column(0).to_pylist() if t for u in finder.uses(t))
+            cols = [pa.array([u[k] for u in n], type=kind) for k, kind in enumerate((pa.string(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n.values(), type=pa.int64())], names=["word", "given", "plain", "docs"])
+
+    seen = docs.select(text_col).filter(F.col(text_col).isNotNull()).mapInArrow(run, "word string, given string, plain boolean, docs bigint")
+    return seen.groupBy("word", "given", "plain").agg(F.sum("docs").alias("docs"))
+
+
+def _endings(uses: DataFrame) -> tuple[str, ...]:
+    n = uses.filter("given <> ''").groupBy(F.substring("word", -ENDING, ENDING).alias("ending")).agg(F.countDistinct("given").alias("given"))
+    rows = n.filter(F.col("given") >= GIVEN_PER_ENDING).collect()
+    best = max((r.given for r in rows), default=0)
+    return tuple(sorted(r.ending for r in rows if r.given >= ENDING_SHARE * best))
 
-    texts = docs.select(text_col).filter(F.col(text_col).isNotNull()).limit(sample).repartition(16)
-    pairs = texts.mapInArrow(run, "ending string, given string").distinct()
-    rows = pairs.groupBy("ending").count().filter(F.col("count") >= GIVEN_PER_ENDING).orderBy(F.desc("count"), "ending").limit(MAX_WORDS).collect()
-    return tuple(sorted(r.ending for r in rows))
+
+def learn_endings(docs: DataFrame, given: tuple[str, ...], words: tuple[str, ...], text_col: str = "text") -> tuple[str, ...]:
+    """Endings of family names: those that follow at least ``GIVEN_PER_ENDING`` different listed given names in all documents.
+
+    Product names such as a given name with a fixed second word follow one given name only. At most as many values as there are triples of letters, in practice some dozens.
+    """
+    return _endings(_uses(docs, given, words, text_col))
+
+
+def learn(docs: DataFrame, given: tuple[str, ...], words: tuple[str, ...], text_col: str = "text") -> tuple[tuple[str, ...], tuple[tuple[str, str], ...]]:
+    """(endings of family names, (given name, second word) of products), from one count over all documents.
+
+    A product's second word doesn't end as family names do, stands plainly after the one given name in at least ``PRODUCT_USES`` documents, and hardly
+    ever (``PRODUCT_SHARE``) after another name or title or where a word announces the pair: few pairs at any size.
+    """
+    uses = cut_lineage(_uses(docs, given, words, text_col))
+    endings = _endings(uses)
+    of_word = uses.groupBy("word").agg(F.sum("docs").alias("all"), F.max(F.when(F.col("plain"), F.struct("docs", "given"))).alias("top"))
+    rows = of_word.filter((F.col("top.docs") >= PRODUCT_USES) & (F.col("top.docs") >= F.col("all") * PRODUCT_SHARE)).select("top.given", "word").collect()
+    return endings, tuple(sorted((r.given, r.word) for r in rows if not any(p[-ENDING:] in endings for p in re.split(r"[-‐‑]", r.word))))
 
 
 def _small(df: DataFrame, column: str) -> tuple[str, ...]:
@@ -377,11 +421,11 @@ def found(docs: DataFrame, given_names: DataFrame, lexicon: DataFrame) -> DataFr
 
 def _run(docs: DataFrame, given_names: DataFrame, lexicon: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
     given, words = _small(given_names, "given_name"), _small(lexicon, "word")
-    endings = learn_endings(docs, given, words, text_col)
+    endings, products = learn(docs, given, words, text_col)
     kind_of_id = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(given, words, endings)
+        finder = _finder(given, words, endings, products)
         item = pa.list_(pa.struct([("kind", pa.string()), ("found", pa.string()), ("start", pa.int32())]))
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()

@@ -59,3 +59,20 @@ def test_endings_are_learned_from_several_given_names(spark):
     text = " ".join(f"{g} Kaldfeld." for g in ("Marisel", "Tavira", "Søren")) + " Sage Planbook. Sage Planbook."
     got = pii.learn_endings(spark.createDataFrame([(text,)], "text string"), tuple(GIVEN), tuple(WORDS))
     assert got == ("eld",)
+
+
+def test_rare_endings_and_all_documents_count(spark):
+    common = [f"{g} {f}eld" for g in ("Marisel", "Tavira", "Søren") for f in ("Kald", "Penhf")]
+    texts = [f"Seen by {n} twice." for n in common] + ["Then Sage Planbook loads."] * 30 + ["Then Tavira Umbruqz loads.", "Then Ms Korrin Umbruqz loads.", "Then Ms Sage Planbook loads."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    given = spark.createDataFrame([(g,) for g in GIVEN], "given_name string")
+    words = spark.createDataFrame([(w,) for w in [*WORDS, "seen", "then"]], "word string")
+    got = {(r.doc_id, r.found) for r in pii.found(docs, given, words).collect()}
+    n = len(common)
+    assert got == {*enumerate(common), (n + 30, "Tavira Umbruqz"), (n + 31, "Korrin Umbruqz"), (n + 32, "Sage Planbook")}
+
+
+def test_no_document_is_left_out_of_the_endings(spark):
+    late = [f"{g} Kaldfeld" for g in ("Marisel", "Tavira", "Søren")]
+    docs = spark.createDataFrame([(t,) for t in ["x"] * 20_500 + late], "text string").coalesce(1)
+    assert pii.learn_endings(docs, tuple(GIVEN), tuple(WORDS)) == ("eld",)
