@@ -6,11 +6,11 @@ the first and a band of the second forms the key of one table, so ``bands`` + ``
 tables would need. Records that meet under a key are candidates and each candidate is verified
 by its exact similarity; groups are the connected components of the verified links.
 
-Copies (the same words in the same order) are one node throughout, however many there are. Under a
-key the nodes are put in order and each is linked to the ``reach`` ones before it instead of to all of
-them; different tables hold different subsets, so alike records meet next to each other many times and a
-hot key costs no more than its rows. Links are verified in two waves: the tables of the first diagonal, then, of all
-other links, those between different groups of the first wave, since no other can change a group.
+Copies (the same words in the same order) are one node throughout, however many there are. Links are
+verified in two waves. The first only gathers groups cheaply: in the tables of the diagonal the nodes under a key are put in an order
+of that key's own and each is linked to the ``reach`` ones before it. The second is whole: in all tables, every two nodes
+under a key that are in different groups of the first wave are compared, since no other pair can change a group. A hot key of alike texts costs no
+more than its rows then; one of n texts that are mostly not alike costs n * (n - 1) / 2 comparisons.
 
 Alike: at least ``threshold`` of the distinct runs of ``run_length`` words in either text occur in both.
 A miss needs that no band of one of the collections agrees; at similarity 0.5 that is 3 % a pair and
@@ -37,6 +37,7 @@ from lodestrata.session import cut_lineage, wide
 
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
+_PIECE = 1_000_000  # pairs made at a time
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -147,10 +148,55 @@ def _links(keys: DataFrame, reach: int) -> DataFrame:
             last_key, last_node = k[-reach:], v[-reach:]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
 
-    ordered = keys.repartition(wide(keys.sparkSession), "key").sortWithinPartitions("key", "node")
+    ordered = keys.repartition(wide(keys.sparkSession), "key").sortWithinPartitions("key", F.xxhash64("node", "key"))
     return ordered.mapInArrow(run, "a bigint, b bigint").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _pairs_between(key: np.ndarray, node: np.ndarray, part: np.ndarray) -> Iterator[np.ndarray]:
+    """All pairs of nodes under one key in different parts, as 2 x n arrays of about ``_PIECE`` pairs; the rows are sorted by key and part."""
+    n = len(key)
+    if not n:
+        return
+    new_key = np.flatnonzero(key[1:] != key[:-1]) + 1
+    new_part = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+    at = np.arange(n)
+    key_end = np.append(new_key, n)[np.searchsorted(new_key, at, side="right")]
+    part_end = np.append(new_part, n)[np.searchsorted(new_part, at, side="right")]
+    total = np.concatenate(([0], np.cumsum(key_end - part_end)))
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + _PIECE, side="right")) - 1)
+        count = total[lo + 1 : hi + 1] - total[lo:hi]
+        a = np.repeat(np.arange(lo, hi), count)
+        if len(a):
+            b = part_end[a] + np.arange(len(a)) - np.repeat(total[lo:hi] - total[lo], count)
+            x, y = node[a], node[b]
+            yield np.stack((np.minimum(x, y), np.maximum(x, y)))
+        lo = hi
+
+
+def _links_between(keys: DataFrame) -> DataFrame:
+    """``(a, b)``: all pairs of nodes under the same key whose ``part`` differs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, dtype=np.int64)] * 3
+
+        def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for p in _pairs_between(*rows):
+                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+
+        for b in batches:
+            rows = [np.concatenate((k, c.to_numpy())) for k, c in zip(kept, b.columns, strict=True)]
+            if len(rows[0]):
+                whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on in the next batch
+                yield from out([r[:whole] for r in rows])
+                kept = [r[whole:] for r in rows]
+        yield from out(kept)
+
+    ordered = keys.select("key", "node", "part").repartition(wide(keys.sparkSession), "key").sortWithinPartitions("key", "part")
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, ids: DataFrame, threshold: float, run_length: int, min_words: int) -> DataFrame:
     """The pairs whose exact similarity is at least the threshold, with it."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ids, "node").select("id")
@@ -176,18 +222,16 @@ def near_duplicate_groups(
     nodes = cut_lineage(nodes)
     left, right = F.slice("sig", 1, bands), F.slice("sig", bands + 1, bands)
 
-    def keyed(diagonal: bool) -> DataFrame:
-        i = nodes.select("node", F.posexplode(left).alias("i", "l"), right.alias("r"))
-        ij = i.select("node", "i", "l", F.posexplode("r").alias("j", "r"))
-        ij = ij.filter((F.col("i") == F.col("j")) if diagonal else (F.col("i") != F.col("j")))
-        return ij.select(F.xxhash64("i", "l", "j", "r").alias("key"), "node")
+    def keyed(nodes: DataFrame, diagonal: bool) -> DataFrame:
+        i = nodes.select("node", "part", F.posexplode(left).alias("i", "l"), right.alias("r"))
+        ij = i.select("node", "part", "i", "l", F.posexplode("r").alias("j", "r"))
+        ij = ij.filter("i = j") if diagonal else ij
+        return ij.select(F.xxhash64("i", "l", "j", "r").alias("key"), "node", "part")
 
     ids = nodes.select("node", "id")
-    first = cut_lineage(_verify(cut_lineage(_links(keyed(True), reach)), texts, ids, threshold, run_length, min_words))
-    parts = connected_components(first, "a", "b")
-    pa_, pb = (parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
-    rest = _links(keyed(False), reach).join(pa_, "a", "left").join(pb, "b", "left")
-    rest = cut_lineage(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    first = cut_lineage(_verify(cut_lineage(_links(keyed(nodes.withColumn("part", F.col("node")), True), reach)), texts, ids, threshold, run_length, min_words))
+    parts = connected_components(first, "a", "b").select("node", F.col("component").alias("part"))
+    rest = cut_lineage(_links_between(keyed(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), False)))
     second = _verify(rest, texts, ids, threshold, run_length, min_words)
     # the second wave joins whole groups of the first
     links = first.select("a", "b").unionByName(second.select("a", "b"))

@@ -86,3 +86,47 @@ def test_runs_do_not_cross_texts():
     rows, h, offsets, digest = M.runs_of(["a b c d", None, "x", "a b c d", "d c b a"], 3, 3)
     assert rows == [0, 3, 4] and offsets.tolist() == [0, 2, 4, 6] and len(h) == 6
     assert digest[0] == digest[1] != digest[2] and np.array_equal(h[:2], h[2:4])
+
+
+def test_alike_pairs_far_apart_in_a_hot_bucket(spark):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for k in range(200):  # the first 60 words are the same everywhere: less than one half in common
+        own = [f"o{k}x{i}" for i in range(43)]
+        rows.append((f"t{k:03}", " ".join(base + own), ".txt", 0))
+        if k % 40 == 0:  # five of them have one that shares a little more than one half
+            rows.append((f"u{k:03}", " ".join(base + own[:13] + [f"p{k}x{i}" for i in range(30)]), ".txt", 0))
+    rng.shuffle(rows)
+    want = brute(rows, 0.5, 3)
+    assert len(want) == 5
+    got = {(r.id_a, r.id_b) for r in M.found(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
+def test_all_pairs_between_parts():
+    key = np.array([1, 1, 1, 1, 2, 3, 3])
+    node = np.array([9, 4, 7, 5, 1, 2, 3])
+    part = np.array([4, 4, 5, 7, 1, 2, 2])
+    got = {tuple(p) for x in M._pairs_between(key, node, part) for p in x.T.tolist()}
+    assert got == {(7, 9), (5, 9), (4, 7), (4, 5), (5, 7)}
+
+
+def test_every_alike_pair_that_meets_in_a_table_is_found(spark):
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for k in range(60):  # one hot key: all share the boilerplate, every text is alike to one other only
+        for side in "ab":
+            rows.append((f"{side}{k:03}", " ".join(base + [f"c{k}x{i}" for i in range(13)] + [f"{side}{k}x{i}" for i in range(32)]), ".txt", 0))
+    rng.shuffle(rows)
+    want = brute(rows, 0.5, 3)
+    assert len(want) == 60
+    _, h, offsets, _ = M.runs_of([r[1] for r in rows], 3, 20)
+    sig = {r[0]: s.tolist() for r, s in zip(rows, M._signatures(h, offsets, 1, 1, 11), strict=True)}
+    meet = {(a, b) for a, b in want if sig[a] == sig[b]}
+    g = M.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), threshold=0.5, run_length=3, bands=1, band_size=1)
+    by = {}
+    for r in g.collect():
+        by.setdefault(r.group_id, []).append(r.id)
+    assert len(meet) >= 5 and {tuple(sorted(m)) for m in by.values()} == meet
