@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -54,8 +56,8 @@ def wide(spark: SparkSession, least: int = 1) -> int:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
-    ``spark.checkpoint.dir`` wins where it is set (a folder all executors share);
-    only where it is unset, as in tests, a temporary folder is made.
+    ``spark.checkpoint.dir`` wins where it is set (a folder all executors share); where it is unset, a
+    temporary folder is made for a local master, and any other master raises: no machine's own folder serves a cluster.
     """
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
@@ -63,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return have
     where = sc.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lodestrata-checkpoint-", dir=os.environ.get("TMPDIR"))
     sc.setCheckpointDir(where)
     return where
@@ -72,3 +76,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder and read from there on."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder; smaller than a checkpoint, and ``drop_written`` can take it back."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestrata_path = path
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame that ``written`` returned; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._lodestrata_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished rounds, which otherwise stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
