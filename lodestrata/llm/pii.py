@@ -1,11 +1,11 @@
 """Problem 9: personal information inside free text, replaced by typed placeholders.
 
 Method: anchor expansion. One Aho-Corasick automaton runs over each text and finds the anchors:
-at-signs and their spelled-out forms, digit pairs, labels of identity records, given names, titles and
-words that announce a person. From each anchor a deterministic local parser expands to both sides and validates what
-it has found: e-mail addresses by the form of their domain, phone numbers by the known layouts of digits, identity
-numbers by their label and layout, addresses by street, house number, town and postcode, names by a given name or
-initials beside a word that is no word of the lexicon. Of overlapping finds the kind that comes first in
+at-signs and their spelled-out forms, digit pairs, the second halves of British postcodes, labels of identity records, listed given names,
+initials, titles, words that announce a person, and endings of family names. From each anchor a deterministic local parser expands to both
+sides and validates what it has found: e-mail addresses by the form of their domain, phone numbers by the known layouts of digits, identity
+numbers by their label and layout, addresses from their postcode by town, house number and street, names by a given name or
+initials beside a word that is no word of the lexicon. Nothing is looked for away from an anchor. Of overlapping finds the kind that comes first in
 ``KINDS`` wins, then the longer one.
 
 The tables ``given_names`` and ``lexicon`` are small and fixed (at most ``MAX_WORDS`` rows of each are read; more raise an
@@ -21,6 +21,7 @@ are distinct (kind, text) pairs in ``found``; other columns are ignored.
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -126,7 +127,15 @@ _STREETS = [
     rf"(?:C/|Calle|c/|Avda\.|Avenida|Av\.|Plaza|Pza\.|Paseo|P\.º|Camino|Ronda|Travesía|Carrera|Cuesta|Glorieta|Callejón)[ ]?[\w'’ .-]{{2,40}}?,?[ ]{_NUMBER}",
 ]
 _ADDRESS = re.compile("|".join(rf"(?:(?<![\w/.-])(?:{s}){_UNIT}{_BREAK}(?:{_POSTCODE}[ ]{_TOWN}|{_TOWN},?[ ]{_POSTCODE})(?!\w))" for s in _STREETS))
-_POSTCODE_AT = re.compile(_POSTCODE)
+_POSTCODE_BEFORE = re.compile(r"[A-Z]{1,2}\d[A-Z\d]?$")  # the first half of a British postcode
+
+# Expansion of name anchors to the left: the word that an ending closes, the given name before a family name, the family name before a comma.
+_WORD_BEFORE = re.compile(r"[\w'’]+(?:[-‐‑][\w'’]+)*$")
+_GIVEN_BEFORE = re.compile(rf"(?P<given>[\w'’-]+)(?:{_GAP}{_INITIALS})?(?:{_GAP}(?i:{PARTICLES}))?{_GAP}$")
+_LEAD_BEFORE = re.compile(rf"(?<![\w@.-])(?i:{PARTICLES}){_GAP}$")
+_FAMILY_BEFORE = re.compile(rf"(?<![\w@.-])(?:(?i:{PARTICLES}){_GAP})?{_FAMILY},{_GAP}$")
+_TO_NEXT_WORD = re.compile(r"[\W_]{1,4}(?=\w)")
+_LEFT = 90  # characters a name anchor expands to the left, at most
 
 
 class Finder:
@@ -145,9 +154,13 @@ class Finder:
             anchors |= {f" {w} ": "email", f"({w})": "email", f"[{w}]": "email", f"( {w} )": "email", f"{{{w}}}": "email", f"<{w}>": "email"}
         anchors |= {f"{i:02d}": "digits" for i in range(100)}
         anchors |= {label: "id" for label in ID_LABELS}
+        anchors |= {f" {d}{c}": "postcode" for d in range(10) for c in string.ascii_lowercase}
+        anchors |= {f"{c}.": "initial" for c in {c.lower() for c in map(chr, range(65, 0x180)) if re.fullmatch(_UP, c)}}
         self.anchors = ahocorasick.Automaton()
-        for word, kind in anchors.items():
-            self.anchors.add_word(word, (kind, len(word)))
+        words_of_names = [(w, "announcer") for w in (*TITLES, *ANNOUNCING)] + [(g, "given") for g in self.given] + [(e, "ending") for e in endings]
+        for word, kind in (*anchors.items(), *words_of_names):
+            # a word may be an anchor of several kinds
+            self.anchors.add_word(word, (*self.anchors.get(word, ()), (kind, len(word))))
         self.anchors.make_automaton()
 
     def _unknown(self, word: str) -> bool:
@@ -163,30 +176,56 @@ class Finder:
         spans: list[tuple[int, int, str]] = []
         digit_end = id_end = mail_end = -1
         phone_at: list[int] = []
-        for end, (kind, size) in self.anchors.iter(low):
-            at = end - size + 1
-            if kind == "email":
-                if at >= mail_end:
-                    m = self._email(text, at, end + 1)
-                    if m:
-                        spans.append((*m, "email"))
-                        mail_end = m[1]
-            elif kind == "id":
-                if end + 1 > id_end and not (at and low[at - 1].isalnum()) and not low[end + 1 : end + 2].isalpha():
-                    m = self._id_number(text, end + 1)
-                    if m:
-                        spans.append((*m, "id_number"))
-                        id_end = m[1]
-            elif at > digit_end:
-                start = at
-                while start > 0 and text[start - 1].isdigit():
-                    start -= 1
-                stop = end + 1
-                while stop < len(text) and text[stop].isdigit():
-                    stop += 1
-                digit_end = stop - 1
-                phone_at.append(start)
-        self._addresses(text, spans)
+        postcodes: list[tuple[int, int]] = []
+        given_at: set[int] = set()  # where a given name, initials or a name with its family first may begin
+        initials_at: set[int] = set()
+        reversed_at: set[int] = set()
+        for end, hits in self.anchors.iter(low):
+            for kind, size in hits:
+                at = end - size + 1
+                if kind == "email":
+                    if at >= mail_end:
+                        m = self._email(text, at, end + 1)
+                        if m:
+                            spans.append((*m, "email"))
+                            mail_end = m[1]
+                elif kind == "id":
+                    if end + 1 > id_end and not (at and low[at - 1].isalnum()) and not low[end + 1 : end + 2].isalpha():
+                        m = self._id_number(text, end + 1)
+                        if m:
+                            spans.append((*m, "id_number"))
+                            id_end = m[1]
+                elif kind == "digits":
+                    if at > digit_end:
+                        start = at
+                        while start > 0 and text[start - 1].isdigit():
+                            start -= 1
+                        stop = end + 1
+                        while stop < len(text) and text[stop].isdigit():
+                            stop += 1
+                        digit_end = stop - 1
+                        phone_at.append(start)
+                        if stop - start == 5:
+                            postcodes.append((start, stop))
+                elif kind == "postcode":
+                    if text[at + 2 : at + 4].isupper() and text[at + 3 : at + 4].isalpha() and (m := _POSTCODE_BEFORE.search(text, max(0, at - 4), at)):
+                        postcodes.append((m.start(), at + 4))
+                elif kind == "ending":
+                    if not low[end + 1 : end + 2].isalnum():
+                        self._before_family(text, end + 1, given_at, reversed_at)
+                elif kind == "given":
+                    if not (at and low[at - 1].isalnum()) and not low[end + 1 : end + 2].isalnum():
+                        start = at - len(m[0]) if text[at - 1 : at] == "-" and (m := re.search(r"\w+-$", text[max(0, at - 24) : at])) else at
+                        given_at.add(start)
+                        if m := _FAMILY_BEFORE.search(text, max(0, start - _LEFT), start):
+                            reversed_at.add(m.start())
+                elif kind == "initial":
+                    if not (at and (low[at - 1].isalnum() or low[at - 1] in ".@-_")) and text[at].isupper():
+                        initials_at.add(at)
+                elif kind == "announcer" and not (at and low[at - 1].isalpha()) and (m := _TO_NEXT_WORD.match(text, end + 1)):
+                    given_at.add(m.end())
+                    reversed_at.add(m.end())
+        self._addresses(text, postcodes, spans)
         taken = 0
         for at in phone_at:
             if at >= taken:
@@ -194,9 +233,21 @@ class Finder:
                 if m:
                     spans.append((*m, "phone"))
                     taken = m[1]
-        self._names(text, spans)
+        self._names(text, spans, sorted(reversed_at), sorted(given_at), sorted(initials_at))
         return _resolve(spans)
 
+    @staticmethod
+    def _before_family(text: str, stop: int, given_at: set[int], reversed_at: set[int]) -> None:
+        """Expands the ending of a family name, which stops there, to the words before it."""
+        word = _WORD_BEFORE.search(text, max(0, stop - _LEFT), stop)
+        if not word or not text[word.start()].isupper():
+            return
+        start = word.start()
+        if m := _GIVEN_BEFORE.search(text, max(0, start - _LEFT), start):
+            given_at.add(m.start("given"))
+        lead = _LEAD_BEFORE.search(text, max(0, start - 16), start)
+        reversed_at.add(lead.start() if lead else start)
+
     def _email(self, text: str, at: int, end: int) -> tuple[int, int] | None:
         lo = max(0, at - 100)
         for m in _EMAIL.finditer(text, lo, min(len(text), end + 140)):
@@ -228,12 +279,12 @@ class Finder:
                 return n.span()
         return None
 
-    def _addresses(self, text: str, spans: list[tuple[int, int, str]]) -> None:
+    def _addresses(self, text: str, postcodes: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -> None:
         done = 0
-        for p in _POSTCODE_AT.finditer(text):
-            if p.start() >= done:
-                for m in _ADDRESS.finditer(text, max(done, p.start() - 120), min(len(text), p.end() + 60)):
-                    if m.start() <= p.start() < m.end():
+        for start, stop in sorted(postcodes):
+            if start >= done:
+                for m in _ADDRESS.finditer(text, max(done, start - 120), min(len(text), stop + 60)):
+                    if m.start() <= start < m.end():
                         end = self._town_end(text, m)
                         spans.append((m.start(), end, "address"))
                         done = end
@@ -280,7 +331,7 @@ class Finder:
     def _listed(self, given: str) -> bool:
         return given in self.given or ("-" in given and all(p in self.given for p in given.split("-")))
 
-    def _names(self, text: str, spans: list[tuple[int, int, str]]) -> None:
+    def _names(self, text: str, spans: list[tuple[int, int, str]], reversed_at: list[int], given_at: list[int], initials_at: list[int]) -> None:
         taken = [(a, b) for a, b, _ in spans]
 
         def add(a: int, b: int) -> None:
@@ -289,7 +340,9 @@ class Finder:
                 taken.append((a, b))
 
         at = 0
-        while m := _NAME_REVERSED.search(text, at):
+        for start in reversed_at:
+            if start < at or not (m := _NAME_REVERSED.match(text, start)):
+                continue
             at = m.start("given")  # what comes after the comma may be the family name of another match
             family, given, lead = m["family"], m["given"], m["lead"].strip().lower()
             low = family.lower()
@@ -301,7 +354,9 @@ class Finder:
             if given.lower() in self.given or (not doubtful and (given.endswith(".") or self._unknown(given)) and (lead or self._announced(text, m.start()))):
                 add(m.start("family") if announces else m.start(), m.end())
                 at = m.end()
-        for g in _PAIR.finditer(text):
+        for start in given_at:
+            if not (g := _PAIR.match(text, start)):
+                continue
             low = g["given"].lower()
             m = _NAME_AFTER_GIVEN.match(text, g.end())
             if not m or low in TITLES or low in ANNOUNCING or not self._unknown(m["family"]):
@@ -317,7 +372,11 @@ class Finder:
                         add(g.start(), m.end())
                 elif not family_first and self._announced(text, g.start(), TITLES):
                     add(g.start(), m.end())
-        for m in _NAME_BY_INITIALS.finditer(text):
+        at = 0
+        for start in initials_at:
+            if start < at or not (m := _NAME_BY_INITIALS.match(text, start)):
+                continue
+            at = m.end()
             if self._unknown(m["family"]) and m["family"].lower() not in self.given:
                 add(*m.span())
 
