@@ -31,7 +31,8 @@ class ChainCrf:
         real = np.arange(length) < size[:, None]
         one = np.eye(n_labels)[y] * real[:, :, None]
         rows = np.arange(n)
-        want_emit = np.einsum("nlf,nlk->fk", x, one)
+        flat = np.ascontiguousarray(x.reshape(-1, feats).T)
+        want_emit = flat @ one.reshape(-1, n_labels)
         want_step = np.einsum("nlj,nlk->jk", one[:, :-1], one[:, 1:])
         want_begin, want_end = one[:, 0].sum(0), one[rows, size - 1].sum(0)
         shapes = [(feats, n_labels), (n_labels, n_labels), (n_labels,), (n_labels,)]
@@ -53,7 +54,7 @@ class ChainCrf:
                 b[:, i] = np.where((i < size - 1)[:, None], back, np.where((i == size - 1)[:, None], end, 0))
             z = _logsumexp(a[:, -1] + end, 1)
             p = np.exp(a + b - z[:, None, None]) * real[:, :, None]
-            got_emit = np.einsum("nlf,nlk->fk", x, p)
+            got_emit = flat @ p.reshape(-1, n_labels)
             got_step = np.zeros((n_labels, n_labels))
             for i in range(length - 1):
                 on = real[:, i + 1]

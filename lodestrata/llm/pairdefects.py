@@ -1,13 +1,13 @@
 """Problem 4: prompt and answer pairs whose answer is no usable reply.
 
 Method: an answer is divided into clauses (sentences, list items, code blocks) and a conditional random field tags
-each as answer, refusal, echo, foreign or unfinished. The shares of the tags make the pair's defect: ``copied`` if
-nothing but echo (and framing) is left, ``refusal`` if a refusal stands with no answer of its own, ``other_language`` if most of
-the words are foreign, ``truncated`` if the last clause is unfinished. Answers without any clause are ``empty``.
+each as answer, refusal, echo, foreign, unfinished or stand-in. The shares of the tags make the pair's defect: ``empty`` if there
+is no clause or nothing but stand-ins, ``copied`` if all is echo (framing counts as such) and the echo gives back the prompt, ``refusal`` if a refusal stands with
+no answer of its own, ``other_language`` if most of the words are foreign, ``truncated`` if the last clause is unfinished.
 
-The field is fitted on the driver to at most ``SAMPLE`` rows (the bound is a parameter), whose labels are made: real
-answers that show no sign of a defect are kept, cut off, exchanged with another language's, replaced by their prompt, or preceded
-or replaced by a refusal put together from ``REFUSALS``. The corpus itself is tagged by Spark tasks.
+The field is fitted on the driver to about ``SAMPLE`` rows (the bound is a parameter; the rows are chosen by a hash of their id), whose labels are
+made: real answers that show no sign of a defect are kept, cut off, exchanged with another language's, replaced by their prompt or a stand-in, or preceded
+or replaced by a refusal put together from ``REFUSALS``. The corpus itself is tagged by Spark tasks. A lexicon of more than ``MAX_WORDS`` words raises an error.
 
 Defined results: a null prompt counts as empty (nothing can be copied, no language is asked for); rows with the same id
 count once (the first of the equal ones, else the least answer); null ids are kept out; other columns are ignored.
@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.crf import ChainCrf
+from lodestrata.session import wide
 
-LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
-SAMPLE = 1200  # rows the field is fitted to, at most
+LABELS = ("answer", "refusal", "echo", "foreign", "unfinished", "stand_in")
+SAMPLE = 1500  # rows the field is fitted to, about
+ECHOED = 0.8  # share of the prompt's words that a copy gives back
 MAX_WORDS = 100_000  # of the lexicon, a small fixed table
 
 # Words of four languages.
@@ -92,6 +94,7 @@ _INVISIBLE = re.compile("[​‌‍⁠﻿­᠎]")
 _FENCE = re.compile(r"```|~~~")
 _ITEM = re.compile(r"\s*(?:\d+[.)]|[-*•+])\s+\S")
 _SENTENCE_END = re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]*_]*(?:\s+|(?<=[。！？]))(?=\S)")
+_OTHER_SCRIPT = re.compile(r"[\u0370-\u1fff\u3040-\ud7ff]")
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
 _KANA = re.compile(r"[぀-ヿ]")
 _SCRIPTS = (("ko", re.compile(r"[가-힯]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("he", re.compile(r"[֐-׿]")), ("el", re.compile(r"[Ͱ-Ͽ]")), ("hi", re.compile(r"[ऀ-ॿ]")))
@@ -116,35 +119,47 @@ class Language:
         self.function = {w for ws in FUNCTION_WORDS.values() for w in ws}
         self.prefixes = {w[:k] for w in self.of for k in range(2, len(w))}
 
-    def guess(self, text: str) -> tuple[str, float]:
+    def scores(self, words: list[str]) -> dict[str, float]:
+        score: dict[str, float] = {}
+        for w in words:
+            for lang in self.of.get(w, ()):
+                score[lang] = score.get(lang, 0.0) + 1 / len(self.of[w])
+        return score
+
+    @staticmethod
+    def decide(score: dict[str, float]) -> tuple[str, float]:
         """(language, weight of the evidence); the language is "" where nothing tells."""
-        cjk = len(_CJK.findall(text))
-        if cjk * 2 > len(re.sub(r"\W", "", text)) and cjk:
-            return ("ja" if _KANA.search(text) else "zh"), float(cjk)
-        for lang, script in _SCRIPTS:
-            n = len(script.findall(text))
-            if n * 2 > len(re.sub(r"\W", "", text)) and n:
-                return lang, float(n)
-        score: Counter[str] = Counter()
-        for w in words_of(text):
-            langs = self.of.get(w)
-            if langs:
-                for lang in langs:
-                    score[lang] += 1 / len(langs)
         if not score:
             return "", 0.0
-        (a, x), *rest = score.most_common(2)
-        y = rest[0][1] if rest else 0.0
+        a = max(score, key=score.get)
+        x, y = score[a], max((v for k, v in score.items() if k != a), default=0.0)
         return (a, x - y) if x - y >= 0.5 and x > 1.15 * y else ("", 0.0)
 
+    def by_script(self, text: str) -> tuple[str, float] | None:
+        """The language of a text that isn't in Latin script."""
+        if not _OTHER_SCRIPT.search(text):
+            return None
+        signs = len(re.sub(r"\W", "", text))
+        n = len(_CJK.findall(text))
+        if n * 2 > signs:
+            return ("ja" if _KANA.search(text) else "zh"), float(n)
+        for lang, script in _SCRIPTS:
+            n = len(script.findall(text))
+            if n * 2 > signs:
+                return lang, float(n)
+        return None
+
+    def guess(self, text: str) -> tuple[str, float]:
+        return self.by_script(text) or self.decide(self.scores(words_of(text)))
+
+
+_ASKED = {lang: re.compile(rf"(?:\b(?:in|into|to|auf|ins|en|al|a|au|vers|nach|中|用)\b[\s(\"“']*(?:the\s+)?(?:{names}))|\b(?:{names})\s+(?:please|bitte|only|answer|translation|version)", re.I) for lang, names in LANGUAGE_NAMES.items()}
+_ANY_NAME = re.compile("|".join(LANGUAGE_NAMES.values()), re.I)
+
 
 def asked_languages(prompt: str) -> set[str]:
     """Languages that a prompt asks the answer to be in."""
-    out = set()
-    for lang, names in LANGUAGE_NAMES.items():
-        if re.search(rf"(?:\b(?:in|into|to|auf|ins|en|al|a|au|vers|nach|中|用)\b[\s(\"“']*(?:the\s+)?(?:{names}))|\b(?:{names})\s+(?:please|bitte|only|answer|translation|version)", prompt, re.I):
-            out.add(lang)
-    return out
+    return {lang for lang, form in _ASKED.items() if form.search(prompt)} if _ANY_NAME.search(prompt) else set()
 
 
 def clauses_of(answer: str) -> list[tuple[str, str]]:
@@ -171,20 +186,20 @@ def clauses_of(answer: str) -> list[tuple[str, str]]:
     return out
 
 
-def _bare(answer: str) -> str:
-    return " ".join(words_of(re.sub(r"<[^<>]{0,40}>", lambda m: " br " if m[0].lower().startswith("<br") else m[0], _INVISIBLE.sub("", answer))))
+def is_stand_in(text: str) -> bool:
+    """Whether a clause says nothing, or only that an answer is missing."""
+    bare = re.sub(r"^(?:```|~~~)\w*\s*|\s*(?:```|~~~)$", "", text.strip()).strip()
+    low = re.sub(r"\s+", " ", re.sub(r"^[\W_]+|[\W_]+$", "", bare)).lower()
+    return not low or low in STAND_INS
 
 
 def is_empty(answer: str | None) -> bool:
-    """Null, blank, or nothing but a stand-in."""
-    if answer is None:
-        return True
-    text = _INVISIBLE.sub("", answer).strip()
-    if not re.search(r"\w", text):
-        return True
-    bare = re.sub(r"^(?:```|~~~)\w*\s*|\s*(?:```|~~~)$", "", text).strip()
-    low = re.sub(r"\s+", " ", re.sub(r"^[\W_]+|[\W_]+$", "", bare)).lower()
-    return not low or low in STAND_INS
+    return answer is None or is_stand_in(_INVISIBLE.sub("", answer))
+
+
+def _plain(text: str) -> str:
+    """Without identifiers and code, for telling the language."""
+    return re.sub(r"\w*_\w*|`[^`]*`", " ", text) if "_" in text or "`" in text else text
 
 
 class Reader:
@@ -192,24 +207,32 @@ class Reader:
 
     NAMES = (
         "bias", "first", "last", "only", "item", "code", "opencode", "end_mark", "no_end", "colon_end", "function_end", "cut_word", "dots", "open_bracket", "short", "apology", "inability", "service", "policy", "first_person",
-        "refusal_core", "identifier", "overlap_high", "overlap_mid", "framed", "foreign", "native", "asked", "no_language", "long",
+        "refusal_core", "identifier", "overlap_high", "overlap_mid", "framed", "foreign", "native", "asked", "no_language", "long", "stand_in", "dots_inside",
     )
 
     def __init__(self, lexicon: list[tuple[str, str]]):
         self.language = Language(lexicon)
+        self.at = {n: i for i, n in enumerate(self.NAMES)}
 
     def read(self, prompt: str, answer: str) -> tuple[list[tuple[str, str]], np.ndarray, list[int]]:
         """(clauses, features, words of each)."""
-        cl = clauses_of(_INVISIBLE.sub("", answer))
-        lang, _ = self.language.guess(re.sub(r"\w*_\w*|`[^`]*`", " ", prompt))
+        bare = _INVISIBLE.sub("", answer)
+        cl = clauses_of(bare)
+        lang, _ = self.language.guess(_plain(prompt))
         asked = asked_languages(prompt)
         pw = words_of(prompt)
         grams = set(zip(pw, pw[1:], pw[2:])) if len(pw) > 2 else set()
         pset = set(pw)
-        whole, _ = self.language.guess(re.sub(r"\w*_\w*|`[^`]*`|```.*?```", " ", answer, flags=re.S))
+        cues = any(_RE[k].search(bare) for k in ("apology", "inability", "policy"))  # else no clause can refuse
         x = np.zeros((len(cl), len(self.NAMES)))
         sizes = []
-        at = {n: i for i, n in enumerate(self.NAMES)}
+        at = self.at
+        told = [(None, {}) if kind in ("code", "opencode") else (self.language.by_script(p := _plain(text)), self.language.scores(words_of(p))) for kind, text in cl]
+        total: dict[str, float] = {}
+        for _, score in told:
+            for k, v in score.items():
+                total[k] = total.get(k, 0.0) + v
+        whole, _ = self.language.by_script(_plain(bare)) or self.language.decide(total)
         for i, (kind, text) in enumerate(cl):
             w = words_of(text)
             sizes.append(len(w) if kind not in ("code", "opencode") else max(1, len(w)))
@@ -222,18 +245,21 @@ class Reader:
                 on.append("only")
             if kind in ("item", "code", "opencode"):
                 on.append(kind)
-            body = text.rstrip().rstrip("*_\"'”’»`")
+            if len(text) < 60 and is_stand_in(text):
+                on.append("stand_in")
             if kind not in ("code", "opencode"):
+                body = text.rstrip().rstrip("*_\"'”’»`")
                 on += self._ending(kind, body, text, w)
                 if len(w) <= 5:
                     on.append("short")
                 if len(w) >= 12:
                     on.append("long")
-                found = {k: bool(r.search(text)) for k, r in _RE.items()}
-                on += [k for k in ("apology", "inability", "service", "policy") if found[k]] + ["first_person"] * found["first"]
-                ident = bool(re.search(r"\w_\w", re.sub(r"^\w+:\s", "", text)))
-                if found["inability"] and found["service"] and (found["first"] or not ident):
-                    on.append("refusal_core")
+                ident = "_" in text and bool(re.search(r"\w_\w", re.sub(r"^\w+:\s", "", text)))
+                if cues:
+                    found = {k: bool(r.search(text)) for k, r in _RE.items()}
+                    on += [k for k in ("apology", "inability", "service", "policy") if found[k]] + ["first_person"] * found["first"]
+                    if found["inability"] and found["service"] and (found["first"] or not ident):
+                        on.append("refusal_core")
                 if ident:
                     on.append("identifier")
                 if w and pw:
@@ -245,7 +271,7 @@ class Reader:
                         on.append("overlap_mid")
                 if w and all(v in FRAMING for v in w):
                     on.append("framed")
-                own, weight = self.language.guess(re.sub(r"\w*_\w*|`[^`]*`", " ", text))
+                own, weight = told[i][0] or self.language.decide(told[i][1])
                 own = own if weight >= 1.5 else whole if own in ("", whole) else own
                 if not own or not lang:
                     on.append("no_language")
@@ -262,8 +288,10 @@ class Reader:
     def _ending(self, kind: str, body: str, text: str, w: list[str]) -> list[str]:
         on = []
         last = w[-1] if w else ""
-        if re.search(r"(?:…|\.\.\.)$", body):
+        if m := re.search(r"\s*(?:…|\.\.\.)$", body):
             on.append("dots")
+            if m.start() and (last in NEVER_LAST or body[m.start() - 1] in ",;-–—(/" or body.count("(") > body.count(")") or last not in self.language.of):
+                on.append("dots_inside")  # they stand where no sentence ends
         elif re.search(r"[.!?。！？|]$", body.rstrip(")]")) or re.search(r"[.!?。！？][\"'”’»)\]*_`]*$", text.rstrip()):
             on.append("end_mark")
         elif body.endswith(":"):
@@ -301,6 +329,7 @@ def _training(reader: Reader, rows: list[tuple[str, str]], seed: int = 7) -> tup
             by_lang.setdefault(lang, []).append(a)
     xs: list[np.ndarray] = []
     ys: list[np.ndarray] = []
+    stand_ins = [*sorted(STAND_INS), "-", "...", ""]
 
     def add(prompt: str, answer: str, label: list[int] | int) -> None:
         cl, x, _ = reader.read(prompt, answer)
@@ -321,7 +350,7 @@ def _training(reader: Reader, rows: list[tuple[str, str]], seed: int = 7) -> tup
                 tail_kind, tail = parts[-1]
                 # a list item has no end mark: cut after a whole word it can't be told from a complete one
                 if tail_kind != "item" or {"function_end", "open_bracket", "cut_word"} & set(reader._ending(tail_kind, tail, tail, words_of(tail))):
-                    add(prompt, cut, [0] * (len(parts) - 1) + [4])
+                    add(prompt, cut + rng.choice(["", "", "…", "..."]), [0] * (len(parts) - 1) + [4])
         elif pick < 0.5:
             others = [v for k, v in by_lang.items() if k != lang]
             if others:
@@ -346,6 +375,8 @@ def _training(reader: Reader, rows: list[tuple[str, str]], seed: int = 7) -> tup
                 add(prompt, text, 1)
         else:
             add(prompt, f"{prompt}\n\n{answer}", [2] * len(clauses_of(prompt)))
+            blank = rng.choice(stand_ins)
+            add(prompt, rng.choice([str, str.upper, str.capitalize])(rng.choice(["{}", "({})", "[{}]", "{}.", "```\n{}\n```", "<{}>", "**{}**"]).format(blank)), 5)
         if rng.random() < 0.1:  # a code block that is never closed
             add(prompt, f"{answer}\n\n```\n{rng.choice(['x = load(rows)', 'for row in rows:'])}\n    print(row", [0] * len(clauses_of(answer)) + [4])
     return xs, ys
@@ -370,15 +401,15 @@ def fit(rows: list[tuple[str, str]], lexicon: list[tuple[str, str]]) -> ChainCrf
 
 def defect_of(reader: Reader, field: ChainCrf, prompt: str | None, answer: str | None) -> tuple[str | None, list[str]]:
     """(defect or None, the clauses' tags)."""
-    if is_empty(answer):
-        return "empty", []
     prompt = prompt or ""
-    cl, x, size = reader.read(prompt, answer)
+    cl, x, size = reader.read(prompt, answer or "")
     if not cl:
         return "empty", []
     tags = [LABELS[t] for t in field.tag(x)]
+    if all(t == "stand_in" for t in tags):
+        return "empty", tags
     share = {t: sum(n for n, g in zip(size, tags, strict=True) if g == t) / max(1, sum(size)) for t in LABELS}
-    if _only_prompt(prompt, answer):
+    if share["echo"] > 1 - 1e-9 and _given_back(prompt, answer) >= ECHOED:
         return "copied", tags
     if share["refusal"] and share["answer"] + share["foreign"] <= 0.34 * (share["refusal"] + share["echo"]) + 1e-9:
         return "refusal", tags
@@ -389,20 +420,10 @@ def defect_of(reader: Reader, field: ChainCrf, prompt: str | None, answer: str |
     return None, tags
 
 
-def _only_prompt(prompt: str, answer: str) -> bool:
-    """Whether the answer's words are the prompt's, once or repeated, with framing around."""
-    p, a = words_of(prompt), words_of(_INVISIBLE.sub("", answer))
-    if not p or len(a) < len(p):
-        return False
-    rest, i, n = [], 0, 0
-    while i < len(a):
-        if a[i : i + len(p)] == p:
-            i += len(p)
-            n += 1
-        else:
-            rest.append(a[i])
-            i += 1
-    return n > 0 and len(rest) <= 6 and all(w in FRAMING for w in rest)
+def _given_back(prompt: str, answer: str) -> float:
+    """The share of the prompt's words, each as often as it stands there, that the answer holds: an echo of one name of the prompt may well answer it."""
+    p = Counter(words_of(prompt))
+    return (p & Counter(words_of(answer))).total() / p.total() if p else 0.0
 
 
 @lru_cache(maxsize=2)
@@ -412,10 +433,14 @@ def _reader(lexicon: tuple[tuple[str, str], ...]) -> Reader:
 
 def tag_pairs(chats: DataFrame, lexicon: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``(id, defect, tags)`` of every row, defect null for usable answers."""
-    words = tuple(sorted({(r.word, r.lang) for r in lexicon.select("word", "lang").filter("word IS NOT NULL").limit(MAX_WORDS).collect()}))
+    words = tuple(sorted({(r.word, r.lang) for r in lexicon.select("word", "lang").filter("word IS NOT NULL").limit(MAX_WORDS + 1).collect()}))
+    if len(words) > MAX_WORDS:
+        raise ValueError(f"lexicon: more than {MAX_WORDS} words; raise MAX_WORDS if executors can hold them")
     pairs = chats.select("id", "prompt", "answer").filter(F.col("id").isNotNull())
-    rows = pairs.select("prompt", "answer").filter("prompt IS NOT NULL AND answer IS NOT NULL").limit(sample).collect()
-    field = fit([(r.prompt, r.answer) for r in rows], list(words))
+    usable = pairs.filter("prompt IS NOT NULL AND answer IS NOT NULL")
+    spread = F.pmod(F.xxhash64("id"), F.lit(max(1, usable.count() // sample))) == 0  # between one and two times ``sample`` rows
+    rows = usable.filter(spread).select("id", "prompt", "answer").distinct().collect()
+    field = fit([(r.prompt, r.answer) for r in sorted(rows, key=lambda r: (r.id, r.prompt, r.answer))], list(words))
     one = pairs.groupBy("id").agg(F.min_by(F.struct("prompt", "answer"), F.struct(F.coalesce("answer", F.lit("")), F.coalesce("prompt", F.lit("")))).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,7 +450,8 @@ def tag_pairs(chats: DataFrame, lexicon: DataFrame, sample: int = SAMPLE) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], type=pa.string()), pa.array([g[1] for g in got], type=pa.list_(pa.string()))], names=["id", "defect", "tags"])
 
     kind = chats.schema["id"].dataType.simpleString()
-    return one.select("id", "p.prompt", "p.answer").mapInArrow(run, f"id {kind}, defect string, tags array<string>")
+    one = one.select("id", "p.prompt", "p.answer").repartition(wide(chats.sparkSession))  # heavy work on small rows
+    return one.mapInArrow(run, f"id {kind}, defect string, tags array<string>")
 
 
 def found(chats: DataFrame, lexicon: DataFrame) -> DataFrame:
