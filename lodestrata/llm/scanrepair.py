@@ -1,14 +1,15 @@
 """Problem 5: noise in the text of scanned pages, and its repair into running paragraphs.
 
-Method: skip-gram vectors are learned (Spark's Word2Vec, on a bounded sample of pages; word counts are of all pages). A rare word is linked
-to the frequent words that plausible glyph edits make of it, and of these the one is taken that is
-frequent and close to the vectors of the words around it. Then furniture (lines that recur at page edges, printed page
-numbers) is removed, words broken at line ends are joined, also over pages, and the lines are reflowed.
+Method: skip-gram vectors are learned from all pages (Spark's Word2Vec; words too rare for it get the mean of the vectors around them). A rare word
+is linked, by joins of its glyph edits with the counts of all words, to the frequent words that plausible edits make of it and to whose vectors its own is near;
+on a page, of these the one is taken that also fits the vectors of the words around it. Then furniture (lines that recur at page edges, printed page
+numbers) is removed, words broken at line ends are joined, also over pages, and the lines are reflowed. A page gets the counts and
+links of its own words by a join, so no table that grows with the corpus is held by a task; vectors are kept of at most ``vocabulary`` words.
 
 Recurring lines are found over all pages of a file without bringing them together: each edge line gives parts of its
 skeleton (letters with confusable glyphs made equal), counted from both ends, as keys, lines that share a key are compared by edit distance with the
-key's most frequent skeleton, and three pages that agree make a running line. Files whose share of misread words is
-that of chance are taken as digital and keep their words.
+key's most frequent skeleton, and three pages that agree make a running line. In files whose share of misread words is
+that of chance only sure corrections are made: those of words with digits or signs inside, or that hardly occur beside the right form.
 
 Defined results: null and blank documents and rows without page number give lines of their own only (no
 recurrence, no continuation on another page) or nothing; rows with the same id count once; a file is what the ids of its rows share (project, path,
@@ -27,13 +28,17 @@ from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import cut_lineage
+from lodestrata.session import cut_lineage, wide, written
 
-SAMPLE_PAGES = 4000  # pages on which the vectors are learned, at most
-MAX_VOCABULARY = 100_000  # frequent words that every task holds, at most
+VOCABULARY = 100_000  # the most frequent words, which have vectors that every task holds
+MAX_LEXICON = 100_000  # a larger lexicon raises an error
+BROADCAST_ROWS = 200_000  # of words with their links; larger tables are joined by a shuffle
 DIM = 24
+RARE = 5  # words that occur less often are no targets of corrections
+RATIO = 5.0  # how much more often than a misread form the right one occurs, at least
+SURE_RATIO = 400.0  # and in a file without signs of scanning
 MIN_RECURRING = 3
-MISREAD_SHARE = 0.004  # of a file's words; below it the file counts as digital
+MISREAD_SHARE = 0.004  # of a file's words; below it only sure corrections are made
 
 # How glyphs are misread (as read -> as printed).
 GLYPHS = (
@@ -133,73 +138,66 @@ def body_words(line: str) -> list[str]:
     return _TOKEN.findall(line)
 
 
+_BY_FIRST: dict[str, list[tuple[str, str]]] = {}
+for _read, _printed in GLYPHS:
+    _BY_FIRST.setdefault(_read[0], []).append((_read, _printed))
+
+
+def glyph_edits(word: str) -> Iterator[tuple[str, float]]:
+    """(form, cost) of every single glyph edit of a word."""
+    for i, c in enumerate(word):
+        for a, b in _BY_FIRST.get(c, ()):
+            if word.startswith(a, i):
+                yield word[:i] + b + word[i + len(a) :], 0.5 if not a.isalpha() else 1.0 if len(a) > 1 or (a, b) in (("c", "e"), ("b", "h"), ("f", "t")) else 1.6
+
+
+def forms_of(word: str, edits: int) -> dict[str, float]:
+    """The forms that up to so many glyph edits make of a word, with the least cost of each; forms with digits are left out."""
+    out: dict[str, float] = {}
+    level = {word: 0.0}
+    for _ in range(edits):
+        nxt: dict[str, float] = {}
+        for w, cost in level.items():
+            for v, extra in glyph_edits(w):
+                if v != word and cost + extra < nxt.get(v, 9.0):
+                    nxt[v] = cost + extra
+        for v, c in nxt.items():
+            if c < out.get(v, 9.0) and not any(x.isdigit() for x in v):
+                out[v] = c
+        level = nxt
+    return out
+
+
 class Corrector:
-    """Links rare words to frequent ones by glyph edits and chooses by frequency and context."""
-
-    def __init__(self, counts: dict[str, int], lexicon: set[str], vectors: dict[str, np.ndarray] | None = None, rare: int = 5, ratio: float = 5.0):
-        self.counts, self.lexicon, self.vectors, self.ratio = counts, lexicon, vectors or {}, ratio
-        self.frequent = {w for w, n in counts.items() if n >= rare} | lexicon
-        self.by_first: dict[str, list[tuple[str, str]]] = {}
-        for a, b in GLYPHS:
-            self.by_first.setdefault(a[0], []).append((a, b))
-        self.links: dict[str, tuple[tuple[str, float], ...]] = {}
-
-    def _edits(self, word: str) -> Iterator[tuple[str, float]]:
-        for i, c in enumerate(word):
-            for a, b in self.by_first.get(c, ()):
-                if word.startswith(a, i):
-                    weight = 0.5 if not a.isalpha() else 1.0 if len(a) > 1 or (a, b) in (("c", "e"), ("b", "h"), ("f", "t")) else 1.6
-                    yield word[:i] + b + word[i + len(a) :], weight
-
-    def link(self, word: str) -> tuple[tuple[str, float], ...]:
-        """The frequent words that up to two (with digits three) glyph edits make of a rare one, with their scores; none if the word stands as it is."""
-        known = self.links.get(word)
-        if known is not None:
-            return known
-        if len(self.links) > 300_000:
-            self.links.clear()
-        out: tuple[tuple[str, float], ...] = ()
-        if word not in self.lexicon and len(word) > 1 and any(c.isalpha() for c in word) and not re.search(r"\d{3}", word):
-            own = self.counts.get(word, 0)
-            found: dict[str, float] = {}
-            level = {word: 0.0}
-            for depth in range(3 if sum(c.isdigit() for c in word) > 1 else 2):
-                nxt: dict[str, float] = {}
-                for w, cost in level.items():
-                    for v, extra in self._edits(w):
-                        c = cost + extra
-                        if v != word and c < nxt.get(v, 9.0):
-                            nxt[v] = c
-                for v, c in nxt.items():
-                    if v in self.frequent and not any(x.isdigit() for x in v):
-                        n = self.counts.get(v, 1)
-                        if n >= self.ratio * own or v in self.lexicon and n >= own:
-                            s = math.log(n + 1) * 0.4 - c * 1.5 + (1.0 if v in self.lexicon else 0.0)
-                            found[v] = max(found.get(v, -9.0), s)
-                if found and depth == 0:
-                    break
-                level = nxt
-            # a word that is itself frequent needs an edit of the surest kind
-            digits = any(c.isdigit() for c in word)
-            if found and (digits or own < 40 or max(found.values()) > 1.2):
-                out = tuple(sorted(found.items(), key=lambda x: (-x[1], x[0])))
-        self.links[word] = out
-        return out
-
-    def right(self, word: str, around: list[str]) -> str | None:
-        """The right form of a word (lower case), or None if it stands."""
+    """Chooses among the forms that the words of one page are linked with, by frequency and context.
+
+    ``facts`` are the counts and links of the page's words: word -> (n, ((form, score, sure), ...)).
+    """
+
+    def __init__(self, lexicon: frozenset[str], vectors: dict[str, np.ndarray]):
+        self.lexicon, self.vectors = lexicon, vectors
+        self.facts: dict[str, tuple[int, tuple]] = {}
+
+    def count(self, word: str) -> int:
+        return self.facts[word][0] if word in self.facts else 0
+
+    def link(self, word: str) -> tuple:
+        return self.facts[word][1] if word in self.facts and word not in self.lexicon else ()
+
+    def right(self, word: str, around: list[str]) -> tuple[str, bool] | None:
+        """(right form in lower case, whether that is sure) of a word, or None if it stands."""
         options = self.link(word)
         if not options:
             return None
-        best, score = None, -9.0
+        best, score, sure = None, -9.0, False
         mean = self._mean(around)
-        for v, s in options[:12]:
+        for v, s, sure_ in options:
             x = self.vectors.get(v)
             if mean is not None and x is not None:
                 s += 1.5 * float(mean @ x)
             if s > score:
-                best, score = v, s
-        return best
+                best, score, sure = v, s, sure_
+        return best, sure
 
     def _mean(self, around: list[str]) -> np.ndarray | None:
         have = [self.vectors[w] for w in around if w in self.vectors]
@@ -210,21 +208,21 @@ class Corrector:
         return m / n if n else None
 
     def known(self, word: str) -> bool:
-        return word in self.lexicon or (self.counts.get(word, 0) >= 5 and not self.link(word))
+        return word in self.lexicon or (self.count(word) >= RARE and not self.link(word))
 
     def joined(self, head: str, tail: str, around: list[str]) -> str:
         """A broken word as it should be written: without the hyphen, or with it where that is the known form."""
         low_h, low_t = _core(head), _core(tail)
         whole, hyphened = low_h + low_t, f"{low_h}-{low_t}"
-        if whole in self.lexicon or (self.counts.get(whole, 0) > 0 and self.known(whole)):
+        if whole in self.lexicon or (self.count(whole) > 0 and self.known(whole)):
             return head + tail
-        if hyphened in self.lexicon or self.counts.get(hyphened, 0) > 0:
+        if hyphened in self.lexicon or self.count(hyphened) > 0:
             return f"{head}-{tail}"
         for form in (whole, hyphened):
             right = self.right(form, around)
             if right:
-                return _cased(right, head)
-        if self.known(low_h) and self.known(low_t) and len(low_h) > 2 and len(low_t) > 2 and self.counts.get(whole, 0) == 0:
+                return _cased(right[0], head)
+        if self.known(low_h) and self.known(low_t) and len(low_h) > 2 and len(low_t) > 2 and self.count(whole) == 0:
             return f"{head}-{tail}"
         return head + tail
 
@@ -236,17 +234,20 @@ def _cased(right: str, read: str) -> str:
     return right[0].upper() + right[1:] if read[:1].isupper() else right
 
 
-def _vectors(pages: DataFrame) -> dict[str, np.ndarray]:
-    """Skip-gram vectors of the words that occur at least five times in a bounded sample of pages."""
-    words = pages.limit(SAMPLE_PAGES).repartition(4).select(F.filter(F.split(F.lower("document"), r"[^\p{L}\p{N}'’-]+"), lambda w: w != "").alias("words"))
-    try:
-        model = Word2Vec(vectorSize=DIM, minCount=5, maxIter=1, numPartitions=4, windowSize=3, inputCol="words", outputCol="v", seed=1).fit(words)
-    except Exception as e:  # too few words for any vector
-        if "vocabulary size" not in str(e).lower():
-            raise
+def _vectors(pages: DataFrame, words: DataFrame, vocabulary: int) -> dict[str, np.ndarray]:
+    """Skip-gram vectors, learned from all pages, of the words that occur at least ``RARE`` times, the ``vocabulary`` most frequent at most."""
+    least = words.filter(F.col("n") >= RARE).orderBy(F.desc("n")).limit(vocabulary).agg(F.count("*").alias("words"), F.min("n").alias("n")).first()
+    if not least.words:
         return {}
+    least_n = least.n + (least.words == vocabulary)  # words as frequent as the last one may be more
+    tokens = pages.select(F.filter(F.split(F.lower("document"), r"[^\p{L}\p{N}'’-]+"), lambda w: w != "").alias("words"))
+    counted = tokens.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") >= least_n).isEmpty()
+    if counted:  # the learner splits words a little differently, and fails on no words
+        return {}
+    parts = wide(pages.sparkSession)
+    model = Word2Vec(vectorSize=DIM, minCount=int(least_n), maxIter=1, numPartitions=parts, windowSize=2, inputCol="words", outputCol="v", seed=1).fit(tokens.repartition(parts))
     out = {}
-    for r in model.getVectors().limit(MAX_VOCABULARY).collect():
+    for r in model.getVectors().collect():
         v = r.vector.toArray()
         n = np.linalg.norm(v)
         if n:
@@ -254,6 +255,75 @@ def _vectors(pages: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
+def _vectors_of_rare(marked: DataFrame, vectors: dict[str, np.ndarray], lexicon: frozenset[str]) -> DataFrame:
+    """``(word, v array<float>)``: for words without a vector the sum of the vectors around them, over all pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[str, np.ndarray] = {}
+            for doc, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                page = _Page(doc, {x["line_no"] for x in f or ()})
+                for k in page.body:
+                    low = [_core(w) for w in body_words(page.lines[k])]
+                    for i, w in enumerate(low):
+                        if w not in vectors and w not in lexicon:
+                            near = [vectors[x] for x in low[max(0, i - 3) : i] + low[i + 1 : i + 4] if x in vectors]
+                            if near:
+                                sums[w] = sums.get(w, 0) + np.sum(near, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), type=pa.string()), pa.array([v.tolist() for v in sums.values()], type=pa.list_(pa.float32()))], names=["word", "v"])
+
+    sums = marked.select("document", "furniture").mapInArrow(run, "word string, v array<float>")
+    return sums.groupBy("word").agg(F.array(*[F.sum(F.col("v")[i]).cast("float") for i in range(DIM)]).alias("v"))
+
+
+def link_words(words: DataFrame, lexicon: frozenset[str], vectors: dict[str, np.ndarray], rare_vectors: DataFrame) -> DataFrame:
+    """``(word, links array<struct<score, form, sure>>)``, best first: the frequent words that plausible glyph edits make of a word, by frequency, cost and nearness of their vectors.
+
+    Words that one edit explains aren't tried with two (with several digits: three).
+    """
+    spark = words.sparkSession
+    lex = spark.createDataFrame([(w,) for w in sorted(lexicon)], "form string").withColumn("listed", F.lit(True))
+    targets = words.filter(F.col("n") >= RARE).select(F.col("word").alias("form"), F.col("n").alias("m")).join(F.broadcast(lex), "form", "full")
+    targets = targets.select("form", F.coalesce("m", F.lit(1)).alias("m"), F.coalesce("listed", F.lit(False)).alias("listed"))
+    doubted = words.join(F.broadcast(lex.withColumnRenamed("form", "word")), "word", "left_anti").filter(F.length("word") > 1)
+    doubted = doubted.filter(F.regexp_like("word", F.lit(r"\p{L}")) & ~F.regexp_like("word", F.lit(r"\d{3}")))
+
+    def edited(rows: DataFrame, one: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for a in range(0, b.num_rows, 500):
+                    part = b.slice(a, 500)
+                    out = [(w, n, v, c) for w, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for v, c in forms_of(w, 1 if one else 3 if sum(x.isdigit() for x in w) > 1 else 2).items()]
+                    cols = list(zip(*out, strict=True)) or [()] * 4
+                    types = (pa.string(), pa.int64(), pa.string(), pa.float32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["word", "n", "form", "cost"])
+
+        forms = rows.select("word", "n").repartition(wide(spark)).mapInArrow(run, "word string, n bigint, form string, cost float")
+        return forms.join(targets, "form").filter((F.col("m") >= RATIO * F.col("n")) | (F.col("listed") & (F.col("m") >= F.col("n"))))
+
+    once = written(edited(doubted, True))
+    both = once.unionByName(edited(doubted.join(once.select("word").distinct(), "word", "left_anti"), False))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pydict()
+            out = []
+            for w, n, v, c, m, listed, own in zip(*(rows[k] for k in ("word", "n", "form", "cost", "m", "listed", "v")), strict=True):
+                x, y = vectors.get(w), vectors.get(v)
+                if x is None and own is not None:
+                    x = np.array(own, dtype=np.float32)
+                    x = x / (np.linalg.norm(x) or 1.0)
+                out.append(math.log(m + 1) * 0.4 - c * 1.5 + listed + (float(x @ y) if x is not None and y is not None else 0.0))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(out, type=pa.float64())], names=["word", "n", "form", "m", "score"])
+
+    scored = both.join(rare_vectors, "word", "left").select("word", "n", "form", "m", "cost", "listed", "v").mapInArrow(score, "word string, n bigint, form string, m bigint, score double")
+    signs = F.regexp_like("word", F.lit(r"[\d|!]"))
+    sure = signs | (F.col("m") >= SURE_RATIO * F.col("n"))
+    best = scored.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "form", sure.alias("sure"))), asc=False), 1, 12).alias("links"), F.max("n").alias("n"), F.max("m").alias("m"))
+    # a word that is nearly as frequent as the right one needs an edit of the surest kind
+    return best.filter(signs | (F.col("m") >= RATIO * F.col("n")) | (F.col("links")[0]["score"] > 1.2)).select("word", "links")
+
+
 class _Page:
     """The body of a page: its lines without furniture."""
 
@@ -290,13 +360,23 @@ def _with_next(marked: DataFrame) -> DataFrame:
     return marked.join(words.groupBy("file", "page").agg(F.min("following").alias("following")), ["file", "page"], "left")
 
 
-def _read_words(marked: DataFrame) -> DataFrame:
-    """``(word, n)`` over the bodies of all pages."""
+def _broken_words(page: _Page, following: str | None) -> Iterator[tuple[int, str, str]]:
+    """(index in the body, head, tail) of the words broken at line ends."""
+    for n, k in enumerate(page.body):
+        head = _broken_end(page.lines[k])
+        if head:
+            m = _TOKEN.match(page.lines[page.body[n + 1]].strip() if n + 1 < len(page.body) else (following or ""))
+            if m and (m[0][0].isalpha() or m[0][0].isdigit()):
+                yield n, head, m[0]
+
+
+def _read_words(rows: DataFrame) -> DataFrame:
+    """``(word, n)`` over the bodies of all pages; the two ways to write a broken word come with a count of 0 beside what they have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[str, int] = {}
-            for doc, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, f, following in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 page = _Page(doc, {x["line_no"] for x in f or ()})
                 tail_open = False
                 for k in page.body:
@@ -306,95 +386,138 @@ def _read_words(marked: DataFrame) -> DataFrame:
                     tail_open = _broken_end(page.lines[k]) is not None
                     for w in words[:-1] if tail_open else words:
                         seen[w] = seen.get(w, 0) + 1
+                for _, head, tail in _broken_words(page, following):
+                    for w in (_core(head) + _core(tail), f"{_core(head)}-{_core(tail)}"):
+                        seen.setdefault(w, 0)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.string()), pa.array(list(seen.values()), type=pa.int64())], names=["word", "n"])
 
-    return marked.select("document", "furniture").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.select("document", "furniture", "following").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
 
+def _lexicon(lexicon: DataFrame) -> frozenset[str]:
+    words = frozenset(r.word.lower() for r in lexicon.select("word").filter("word IS NOT NULL").distinct().limit(MAX_LEXICON + 1).collect())
+    if len(words) > MAX_LEXICON:
+        raise ValueError(f"lexicon: more than {MAX_LEXICON} words; raise MAX_LEXICON if executors can hold them")
+    return words
 
-def corrector(marked: DataFrame, lexicon: DataFrame) -> Corrector:
-    counts = {r.word: r.n for r in _read_words(marked).orderBy(F.desc("n"), "word").limit(MAX_VOCABULARY).collect()}
-    words = {r.word.lower() for r in lexicon.select("word").filter("word IS NOT NULL").limit(MAX_VOCABULARY).collect()}
-    return Corrector(counts, words, _vectors(marked))
 
+def _with_facts(rows: DataFrame, words: DataFrame, links: DataFrame, lexicon: frozenset[str]) -> DataFrame:
+    """Adds to each page what is known of its words: ``facts array<struct<word, n, links>>`` of those with links and of the parts of broken words."""
 
-def _fixes(page: _Page, fix: Corrector, following: str | None) -> Iterator[tuple[str, int, int, int, str]]:
-    """(kind, line, start, end, right word) of broken and misread words; places are within the line."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, asked, always = [], [], []
+            for i, doc, f, following in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                page = _Page(doc, {x["line_no"] for x in f or ()})
+                own = {_core(w): False for k in page.body for w in body_words(page.lines[k])}
+                for _, head, tail in _broken_words(page, following):
+                    h, t = _core(head), _core(tail)
+                    own |= {h: True, t: True, h + t: True, f"{h}-{t}": True}
+                for w, whatever in own.items():
+                    if w not in lexicon:
+                        ids.append(i)
+                        asked.append(w)
+                        always.append(whatever)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.string()), pa.array(asked, type=pa.string()), pa.array(always, type=pa.bool_())], names=["id", "word", "always"])
+
+    known = written(words.join(links, "word", "left").filter("n > 0 OR links IS NOT NULL"))
+    few = known.count() <= BROADCAST_ROWS
+    asked = rows.select("id", "document", "furniture", "following").mapInArrow(ask, "id string, word string, always boolean")
+    facts = asked.join(F.broadcast(known) if few else known, "word").filter("always OR links IS NOT NULL")
+    facts = facts.groupBy("id").agg(F.collect_list(F.struct("word", "n", "links")).alias("facts"))  # as many as a page has words
+    return rows.join(facts, "id", "left").repartition(wide(rows.sparkSession))
+
+
+def _fixes(page: _Page, fix: Corrector, following: str | None) -> Iterator[tuple[str, int, int, int, str, bool]]:
+    """(kind, line, start, end, right word, sure) of broken and misread words; places are within the line."""
     skip = 0
+    broken = {n: (head, tail) for n, head, tail in _broken_words(page, following)}
     for n, k in enumerate(page.body):
         line = page.lines[k]
         tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(line)][skip:]
         skip = 0
         low = [_core(t) for _, _, t in tokens]
-        head = _broken_end(line)
-        if head:
-            nxt = page.lines[page.body[n + 1]].strip() if n + 1 < len(page.body) else (following or "")
-            m = _TOKEN.match(nxt)
-            if m and m[0][0].isalpha() | m[0][0].isdigit():
-                whole = fix.joined(head, m[0], low[-5:-1])
-                at = line.rstrip().rfind(head)
-                yield "hyphenation", k + 1, at, len(line.rstrip()), whole
-                skip = 1 if n + 1 < len(page.body) else 0
-                tokens, low = tokens[:-1], low[:-1]
+        if n in broken:
+            head, tail = broken[n]
+            whole = fix.joined(head, tail, low[-5:-1])
+            yield "hyphenation", k + 1, line.rstrip().rfind(head), len(line.rstrip()), whole, True
+            skip = 1 if n + 1 < len(page.body) else 0
+            tokens, low = tokens[:-1], low[:-1]
         for i, (a, b, t) in enumerate(tokens):
-            if line[b : b + 1] == "_" or line[a - 1 : a] == "_":
+            if low[i] not in fix.facts or line[b : b + 1] == "_" or line[a - 1 : a] == "_":
                 continue
             right = fix.right(low[i], low[max(0, i - 3) : i] + low[i + 1 : i + 4])
             if right:
-                yield "misread", k + 1, a, b, _cased(right, t)
+                yield "misread", k + 1, a, b, _cased(right[0], t), right[1]
+
+
+def _pass(chunks: DataFrame, lexicon: DataFrame, vocabulary: int) -> tuple[DataFrame, frozenset[str], dict[str, np.ndarray]]:
+    rows = _with_next(_marked_pages(pdf_pages(chunks)))
+    words = written(_read_words(rows))
+    listed = _lexicon(lexicon)
+    vectors = _vectors(rows, words, vocabulary)
+    links = written(link_words(words, listed, vectors, _vectors_of_rare(rows, vectors, listed)))
+    return _with_facts(rows, words, links, listed), listed, vectors
 
 
-def _pass(chunks: DataFrame, lexicon: DataFrame) -> tuple[DataFrame, Corrector]:
-    marked = _marked_pages(pdf_pages(chunks))
-    fix = corrector(marked, lexicon)
-    return _with_next(marked), fix
+def _facts(column: pa.Array) -> Iterator[dict[str, tuple[int, tuple]]]:
+    for f in column.to_pylist():
+        yield {x["word"]: (x["n"], tuple((o["form"], o["score"], o["sure"]) for o in x["links"] or ())) for x in f or ()}
 
 
-def found(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
+def found(chunks: DataFrame, lexicon: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     """``(id, kind, line_no, fixed)``, distinct."""
-    rows, fix = _pass(chunks, lexicon)
+    rows, listed, vectors = _pass(chunks, lexicon, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fix = Corrector(listed, vectors)
         for b in batches:
             out = []
-            for i, file, doc, f, following in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out += [(i, file, x["kind"], x["line_no"], "", 0) for x in f or ()]
+            texts = zip(*(b.column(i).to_pylist() for i in range(5)), _facts(b.column(5)), strict=True)
+            for i, file, doc, f, following, facts in texts:
+                fix.facts = facts
+                out += [(i, file, x["kind"], x["line_no"], "", 0, True) for x in f or ()]
                 page = _Page(doc, {x["line_no"] for x in f or ()})
-                out.append((i, file, "", 0, "", sum(len(body_words(page.lines[k])) for k in page.body)))
-                out += [(i, file, kind, line, whole, 0) for kind, line, _, _, whole in _fixes(page, fix, following)]
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["id", "file", "kind", "line_no", "fixed", "words"])
+                out.append((i, file, "", 0, "", sum(len(body_words(page.lines[k])) for k in page.body), True))
+                out += [(i, file, kind, line, whole, 0, sure) for kind, line, _, _, whole, sure in _fixes(page, fix, following)]
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["id", "file", "kind", "line_no", "fixed", "words", "sure"])
 
-    all_ = cut_lineage(rows.select("id", "file", "document", "furniture", "following").mapInArrow(run, "id string, file string, kind string, line_no int, fixed string, words bigint"))
+    all_ = written(rows.select("id", "file", "document", "furniture", "following", "facts").mapInArrow(run, "id string, file string, kind string, line_no int, fixed string, words bigint, sure boolean"))
     share = all_.groupBy("file").agg((F.count_if(F.col("kind") == "misread") / F.greatest(F.sum("words"), F.lit(1))).alias("share"))
-    kept = all_.filter("kind NOT IN ('', 'misread')").select("id", "kind", "line_no", "fixed")
-    misread = all_.filter("kind = 'misread'").join(share.filter(F.col("share") >= MISREAD_SHARE), "file", "left_semi").select("id", "kind", "line_no", "fixed")
-    return kept.unionByName(misread).distinct()
+    scanned = share.filter(F.col("share") >= MISREAD_SHARE).select("file")
+    kept = all_.filter("kind <> '' AND sure").select("id", "kind", "line_no", "fixed")
+    doubtful = all_.filter("kind = 'misread' AND NOT sure").join(scanned, "file", "left_semi").select("id", "kind", "line_no", "fixed")
+    return kept.unionByName(doubtful).distinct()
 
 
-def repaired(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
+def repaired(chunks: DataFrame, lexicon: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     """``(id, text)``: every page as running paragraphs; a word broken over a page end stays whole on the page where it begins."""
-    rows, fix = _pass(chunks, lexicon)
+    rows, listed, vectors = _pass(chunks, lexicon, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fix = Corrector(listed, vectors)
         for b in batches:
             ids, files, texts, bad, total = [], [], [], [], []
             plain = []
-            for i, file, doc, f, following in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            pages = zip(*(b.column(i).to_pylist() for i in range(5)), _facts(b.column(5)), strict=True)
+            for i, file, doc, f, following, facts in pages:
+                fix.facts = facts
                 page = _Page(doc, {x["line_no"] for x in f or ()})
                 fixes = list(_fixes(page, fix, following))
                 ids.append(i)
                 files.append(file)
-                texts.append(_reflow(page, fixes))
-                plain.append(_reflow(page, [x for x in fixes if x[0] == "hyphenation"]))
+                texts.append(_reflow(page, [x[:5] for x in fixes]))
+                plain.append(_reflow(page, [x[:5] for x in fixes if x[5]]))
                 bad.append(sum(x[0] == "misread" for x in fixes))
                 total.append(sum(len(body_words(page.lines[k])) for k in page.body))
             cols = [pa.array(c, type=pa.string()) for c in (ids, files, texts, plain)] + [pa.array(c, type=pa.int64()) for c in (bad, total)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "file", "corrected", "joined", "bad", "words"])
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "file", "corrected", "sure", "bad", "words"])
 
-    out = cut_lineage(rows.select("id", "file", "document", "furniture", "following").mapInArrow(run, "id string, file string, corrected string, joined string, bad bigint, words bigint"))
+    out = written(rows.select("id", "file", "document", "furniture", "following", "facts").mapInArrow(run, "id string, file string, corrected string, sure string, bad bigint, words bigint"))
     share = out.groupBy("file").agg((F.sum("bad") / F.greatest(F.sum("words"), F.lit(1))).alias("share"))
-    return out.join(share, "file").select("id", F.when(F.col("share") >= MISREAD_SHARE, F.col("corrected")).otherwise(F.col("joined")).alias("text"))
+    return out.join(share, "file").select("id", F.when(F.col("share") >= MISREAD_SHARE, F.col("corrected")).otherwise(F.col("sure")).alias("text"))
 
 
 def _reflow(page: _Page, fixes: list[tuple[str, int, int, int, str]]) -> str:

@@ -64,3 +64,20 @@ def test_page_number_lines():
         got = R.printed_number(line)
         assert got == want or (line == "mix" and got is None)
     assert R.skeleton("Robust Reader — Chapter 4   17") == R.skeleton("R0bust  Reader- Chaptcr 4")
+
+
+def test_a_lightly_misread_file_keeps_its_sure_corrections(spark):
+    chunks, lex = book(spark, scanned=False, extra=[("p::b.pdf::1::8", "b.pdf", ".pdf", "b.pdf :: p8", "pdf_page", 8, page(8, "the wa1ker warns about a missing section"), "x")])
+    assert {r.fixed for r in R.found(chunks, lex).collect() if r.kind == "misread"} == {"walker"}
+
+
+def test_links_prefer_the_neighbour_by_vector(spark):
+    import numpy as np
+
+    words = spark.createDataFrame([("hcar", 2), ("hear", 100), ("hoar", 100), ("wa1ker", 1), ("walker", 50), ("well", 9)], "word string, n bigint")
+    vectors = {"hear": np.array([1, 0], np.float32), "hoar": np.array([0, 1], np.float32)}
+    rare = spark.createDataFrame([("hcar", [0.1, 0.9])], "word string, v array<float>")
+    links = {r.word: r.links for r in R.link_words(words, frozenset({"well"}), vectors, rare).collect()}
+    assert links["wa1ker"][0].form == "walker" and links["wa1ker"][0].sure and "well" not in links and "hear" not in links
+    assert [x.form for x in links["hcar"]][:1] == ["hear"]  # the surer edit wins over the nearer vector at equal counts
+    assert abs(links["hcar"][0].score - (0.4 * np.log(101) - 1.5 + 0.1 / np.hypot(0.1, 0.9))) < 1e-3
