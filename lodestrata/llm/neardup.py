@@ -10,7 +10,9 @@ Copies (the same words in the same order) are one node throughout, however many
 verified in two waves. The first only gathers groups cheaply: in the tables of the diagonal the nodes under a key are put in an order
 of that key's own and each is linked to the ``reach`` ones before it. The second is whole: in all tables, every two nodes
 under a key that are in different groups of the first wave are compared, since no other pair can change a group. A hot key of alike texts costs no
-more than its rows then; one of n texts that are mostly not alike costs n * (n - 1) / 2 comparisons.
+more than its rows then. A key of more than ``hot`` nodes that aren't in one group isn't paired at all: its nodes are compared by
+an exact prefix filter instead (two alike texts must share one of the rarest runs of each), so that many texts which share nothing but a common
+passage aren't compared with each other.
 
 Alike: at least ``threshold`` of the distinct runs of ``run_length`` words in either text occur in both.
 A miss needs that no band of one of the collections agrees; at similarity 0.5 that is 3 % a pair and
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.arrowtools import map_batches
 from lodestrata.operators.graph import connected_components
-from lodestrata.session import cut_lineage, wide
+from lodestrata.session import free_shuffles, wide, written
 
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -175,26 +177,74 @@ def _pairs_between(key: np.ndarray, node: np.ndarray, part: np.ndarray) -> Itera
         lo = hi
 
 
-def _links_between(keys: DataFrame) -> DataFrame:
-    """``(a, b)``: all pairs of nodes under the same key whose ``part`` differs."""
+def _links_between(keys: DataFrame, hot: int) -> DataFrame:
+    """``(a, b, part)``: all pairs of nodes under the same key whose ``part`` differs, with a null part; of keys of more than ``hot`` nodes their nodes as a, with part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, dtype=np.int64)] * 3
+        long: int | None = None  # a key that goes on and has been found hot
+
+        def nodes(rows: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.nulls(len(rows[1]), pa.int64()), pa.array(rows[2])], names=["a", "b", "part"])
 
         def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for p in _pairs_between(*rows):
-                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+            if not len(rows[0]):
+                return
+            begin = np.concatenate(([0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1))
+            size = np.diff(np.append(begin, len(rows[0])))
+            many = np.repeat((size > hot) & (rows[2][begin] != rows[2][begin + size - 1]), size)
+            if many.any():
+                yield nodes([r[many] for r in rows])
+            for p in _pairs_between(*(r[~many] for r in rows)):
+                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.nulls(len(p[0]), pa.int64())], names=["a", "b", "part"])
 
         for b in batches:
             rows = [np.concatenate((k, c.to_numpy())) for k, c in zip(kept, b.columns, strict=True)]
-            if len(rows[0]):
-                whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on in the next batch
-                yield from out([r[:whole] for r in rows])
-                kept = [r[whole:] for r in rows]
+            if not len(rows[0]):
+                continue
+            if long is not None:
+                end = int(np.searchsorted(rows[0], long, side="right"))
+                yield nodes([r[:end] for r in rows])
+                rows = [r[end:] for r in rows]
+                kept = rows
+                if not len(rows[0]):
+                    continue
+                long = None
+            whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on in the next batch
+            yield from out([r[:whole] for r in rows])
+            kept = [r[whole:] for r in rows]
+            if len(kept[0]) > hot and kept[2][0] != kept[2][-1]:
+                long = int(kept[0][0])
+                yield nodes(kept)
+                kept = [r[:0] for r in kept]
         yield from out(kept)
 
     ordered = keys.select("key", "node", "part").repartition(wide(keys.sparkSession), "key").sortWithinPartitions("key", "part")
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    return ordered.mapInArrow(run, "a bigint, b bigint, part bigint").distinct()
+
+
+def _by_rare_runs(nodes: DataFrame, texts: DataFrame, ids: DataFrame, threshold: float, run_length: int, min_words: int) -> DataFrame:
+    """``(a, b)``: all pairs of ``(node, part)`` in different parts that can be alike: each text's runs are put in order of how many of the texts hold them, and alike ones share one of the first ``n - ceil(threshold * n) + 1``."""
+    needed = nodes.join(ids, "node").select("id")
+    sets = written(_run_sets(texts.join(needed, "id", "left_semi"), run_length, min_words).dropDuplicates(["node"]))
+    flat = sets.select("node", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    df = flat.groupBy("run").agg(F.count("*").alias("df"))
+    ordered = flat.join(df, "run").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("runs"))  # as many as a text has
+    first = F.slice("runs", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    rows = ordered.select("node", F.explode(first).alias("r")).select(F.col("r.run").alias("key"), "node").join(nodes, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, dtype=np.int64)] * 3
+        for b in batches:
+            both = [np.concatenate((k, c.to_numpy())) for k, c in zip(kept, b.columns, strict=True)]
+            if len(both[0]):
+                whole = int(np.searchsorted(both[0], both[0][-1]))
+                yield from (pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"]) for p in _pairs_between(*(r[:whole] for r in both)))
+                kept = [r[whole:] for r in both]
+        yield from (pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"]) for p in _pairs_between(*kept))
+
+    sorted_ = rows.select("key", "node", "part").repartition(wide(rows.sparkSession), "key").sortWithinPartitions("key", "part")
+    return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, ids: DataFrame, threshold: float, run_length: int, min_words: int) -> DataFrame:
@@ -210,16 +260,16 @@ def _verify(pairs: DataFrame, texts: DataFrame, ids: DataFrame, threshold: float
 
 def near_duplicate_groups(
     df: DataFrame, id_col: str = "id", text_col: str = "document", threshold: float = 0.8, run_length: int = 5,
-    min_words: int = 20, bands: int = 15, band_size: int = 2, reach: int = 3, seed: int = 11,
+    min_words: int = 20, bands: int = 15, band_size: int = 2, reach: int = 3, hot: int = 1000, seed: int = 11,
 ) -> DataFrame:
     """``(id, group_id, copy_of)``: the group of every record that is alike to another one.
 
     ``group_id`` is the least id of the group, ``copy_of`` the least id among the record's exact copies.
     """
     texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("document")).filter(F.col("id").isNotNull() & F.col("document").isNotNull())
-    rows = cut_lineage(_sketch(texts, run_length, min_words, bands, band_size, seed))
+    rows = written(_sketch(texts, run_length, min_words, bands, band_size, seed))
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
-    nodes = cut_lineage(nodes)
+    nodes = written(nodes)
     left, right = F.slice("sig", 1, bands), F.slice("sig", bands + 1, bands)
 
     def keyed(nodes: DataFrame, diagonal: bool) -> DataFrame:
@@ -229,9 +279,15 @@ def near_duplicate_groups(
         return ij.select(F.xxhash64("i", "l", "j", "r").alias("key"), "node", "part")
 
     ids = nodes.select("node", "id")
-    first = cut_lineage(_verify(cut_lineage(_links(keyed(nodes.withColumn("part", F.col("node")), True), reach)), texts, ids, threshold, run_length, min_words))
+    first = written(_verify(written(_links(keyed(nodes.withColumn("part", F.col("node")), True), reach)), texts, ids, threshold, run_length, min_words))
     parts = connected_components(first, "a", "b").select("node", F.col("component").alias("part"))
-    rest = cut_lineage(_links_between(keyed(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), False)))
+    free_shuffles(df.sparkSession)
+    met = written(_links_between(keyed(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), False), hot))
+    free_shuffles(df.sparkSession)
+    rest = met.filter("b IS NOT NULL").select("a", "b")
+    crowded = met.filter("b IS NULL").select(F.col("a").alias("node"), "part").distinct()
+    if not crowded.isEmpty():
+        rest = rest.unionByName(_by_rare_runs(written(crowded), texts, ids, threshold, run_length, min_words)).distinct()
     second = _verify(rest, texts, ids, threshold, run_length, min_words)
     # the second wave joins whole groups of the first
     links = first.select("a", "b").unionByName(second.select("a", "b"))
@@ -254,7 +310,7 @@ def groups(chunks: DataFrame) -> DataFrame:
 
 def found(chunks: DataFrame) -> DataFrame:
     """``(id_a, id_b)``: all pairs within each group, as the problem's statement lists them."""
-    g = cut_lineage(groups(chunks).select("id", "group_id"))
+    g = written(groups(chunks).select("id", "group_id"))
     a = g.select(F.col("id").alias("id_a"), "group_id")
     b = g.select(F.col("id").alias("id_b"), "group_id")
     return a.join(b, "group_id").filter("id_a < id_b").select("id_a", "id_b")

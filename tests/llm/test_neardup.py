@@ -130,3 +130,32 @@ def test_every_alike_pair_that_meets_in_a_table_is_found(spark):
     for r in g.collect():
         by.setdefault(r.group_id, []).append(r.id)
     assert len(meet) >= 5 and {tuple(sorted(m)) for m in by.values()} == meet
+
+
+def test_a_crowded_key_goes_through_the_prefix_filter(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for k in range(60):
+        for side in "ab":
+            rows.append((f"{side}{k:03}", " ".join(base + [f"c{k}x{i}" for i in range(13)] + [f"{side}{k}x{i}" for i in range(32)]), ".txt", 0))
+    rng.shuffle(rows)
+    want = brute(rows, 0.5, 3)
+    g = M.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), threshold=0.5, run_length=3, hot=10)
+    by = {}
+    for r in g.collect():
+        by.setdefault(r.group_id, []).append(r.id)
+    assert len(want) == 60 and {tuple(sorted(m)) for m in by.values()} == want
+
+
+def test_crowded_keys_over_batches(spark):
+    rows = [(k, n, n) for k in range(40) for n in range(k * 100, k * 100 + (50 if k % 7 == 0 else 3))]
+    df = spark.createDataFrame(rows, "key long, node long, part long")
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = M._links_between(df, 20).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert {r.a for r in got if r.b is None} == {n for k, n, _ in rows if k % 7 == 0}
+        assert {(r.a, r.b) for r in got if r.b is not None} == {(k * 100 + i, k * 100 + j) for k in range(40) if k % 7 for i, j in ((0, 1), (0, 2), (1, 2))}
