@@ -43,3 +43,11 @@ def test_edges(spark):
     assert X.mix(d, t.limit(0)).count() == 0
     only, _ = frames(spark, [(1, "A", "x y"), (1, "A", "x y"), (2, "c", ""), (3, "zz", "x")])
     assert {r.source for r in X.mix(only, t).collect()} == {"a"}
+
+
+def test_a_cut_range_that_is_divided_further_cuts_at_the_same_record(spark, monkeypatch):
+    d, t = frames(spark, docs())
+    want = sorted((r.doc_id, r.uses) for r in X.mix(d, t, total_tokens=3000).collect())
+    monkeypatch.setattr(X, "STEP", 3)
+    monkeypatch.setattr(X, "IN_ONE_TASK", 4)
+    assert sorted((r.doc_id, r.uses) for r in X.mix(d, t, total_tokens=3000).collect()) == want
