@@ -123,7 +123,7 @@ def test_every_alike_pair_that_meets_in_a_table_is_found(spark):
     want = brute(rows, 0.5, 3)
     assert len(want) == 60
     _, h, offsets, _ = M.runs_of([r[1] for r in rows], 3, 20)
-    sig = {r[0]: s.tolist() for r, s in zip(rows, M._signatures(h, offsets, 1, 1, 11), strict=True)}
+    sig = {r[0]: s.tolist() for r, s in zip(rows, M._signatures(h, offsets, 1, 1, 11)[0], strict=True)}
     meet = {(a, b) for a, b in want if sig[a] == sig[b]}
     g = M.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), threshold=0.5, run_length=3, bands=1, band_size=1)
     by = {}
@@ -159,3 +159,20 @@ def test_crowded_keys_over_batches(spark):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
         assert {r.a for r in got if r.b is None} == {n for k, n, _ in rows if k % 7 == 0}
         assert {(r.a, r.b) for r in got if r.b is not None} == {(k * 100 + i, k * 100 + j) for k in range(40) if k % 7 for i, j in ((0, 1), (0, 2), (1, 2))}
+
+
+def test_unlikely_pairs_are_left_out_and_alike_ones_kept(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for k in range(60):
+        base = [rng.choice(words) for _ in range(200)]
+        edited = [rng.choice(words) if rng.random() < 0.09 else w for w in base]
+        rows += [(f"a{k:02}", " ".join(base)), (f"b{k:02}", " ".join(edited)), (f"c{k:02}", " ".join(base[:40]))]
+    df = spark.createDataFrame(rows, "id string, document string")
+    nodes = M._sketch(df, 3, 20, 15, 2, 11).cache()
+    of = {r.id: r.node for r in nodes.collect()}
+    want = {(of[f"a{k:02}"], of[f"b{k:02}"]) for k in range(60)}
+    far = {(of[f"a{k:02}"], of[f"b{(k + 1) % 60:02}"]) for k in range(60)} | {(of[f"a{k:02}"], of[f"c{k:02}"]) for k in range(60)}
+    got = {(r.a, r.b) for r in M._likely(spark.createDataFrame([*want, *far], "a long, b long"), nodes, 0.5, 60).collect()}
+    assert want <= got and not got & far
