@@ -34,9 +34,9 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-def chunks(s: SparkSession, d: str, *columns: str) -> DataFrame:
-    """The chunk rows with the given columns, an id once."""
-    return table(s, d, "chunk").select("id", *columns).dropDuplicates(["id"])
+def chunks(s: SparkSession, d: str, *columns: str, where: Column | str = "true") -> DataFrame:
+    """The chunk rows with the given columns that pass ``where``, an id once; the filter comes first and reaches the scan."""
+    return table(s, d, "chunk").filter(where).select("id", *columns).dropDuplicates(["id"])
 
 
 def chunk_rows(s: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -127,18 +127,16 @@ _SYMB = "(contains(lower(coalesce(name, '')), 'journal') OR contains(lower(coale
 
 @query(f"WITH {DIST} SELECT id, round({SCORE}, 6) AS base_score, round(({SCORE}) * 1.2, 6) AS score FROM (SELECT * FROM k ORDER BY distance, id LIMIT 400) WHERE {_FILE}")
 def boost_filename(s, d):
-    hit = retrieval.mentions_file(retrieval.file_candidates("see 'work_journal.txt'")).alias("hit")
-    rows = chunk_rows(s, d, "embeddings", "file_path", "relpath").select("id", "embeddings", hit)
-    wide = retrieval.nearest(rows, query_vector(s, d), "embeddings", "id", 400).filter("hit")
+    rows = chunk_rows(s, d, "embeddings", "file_path", "relpath")
+    wide = retrieval.nearest(rows, query_vector(s, d), "embeddings", "id", 400).filter(retrieval.mentions_file(retrieval.file_candidates("see 'work_journal.txt'")))
     sc = V.score_from_distance(F.col("distance"))
     return wide.select("id", r6(sc).alias("base_score"), r6(sc * 1.2).alias("score"))
 
 
 @query(f"WITH {DIST} SELECT id, round({SCORE}, 6) AS base_score, round(({SCORE}) * 1.3, 6) AS score FROM (SELECT * FROM k ORDER BY distance, id LIMIT 400) WHERE {_SYMB}")
 def boost_symbol(s, d):
-    hit = retrieval.mentions_symbol(retrieval.symbol_candidates("what does Journal do")).alias("hit")
-    rows = chunk_rows(s, d, "embeddings", "name", "symbols", "document").select("id", "embeddings", hit)
-    wide = retrieval.nearest(rows, query_vector(s, d), "embeddings", "id", 400).filter("hit")
+    rows = chunk_rows(s, d, "embeddings", "name", "symbols", "document")
+    wide = retrieval.nearest(rows, query_vector(s, d), "embeddings", "id", 400).filter(retrieval.mentions_symbol(retrieval.symbol_candidates("what does Journal do")))
     sc = V.score_from_distance(F.col("distance"))
     return wide.select("id", r6(sc).alias("base_score"), r6(sc * 1.3).alias("score"))
 
@@ -196,11 +194,14 @@ def route_decide(s, d):
     return retrieval.decide_route(retrieval.bucket_scores(_hit_chunks(s, d), ["chat_id"])).select("chat_id", "route")
 
 
-@query(f"WITH {_HIT_CHUNKS}, n AS (SELECT chat_id, count(*) FILTER (WHERE coalesce(score, 0) >= 0.55) AS strict, count(*) FILTER (WHERE coalesce(score, 0) >= 0.385) AS relaxed FROM hc GROUP BY chat_id) SELECT chat_id, strict, relaxed, strict < 10 AND relaxed > strict AS relax FROM n")
+@query(
+    """WITH h AS (SELECT chat_id, id, max(coalesce(score, 0)) AS score FROM hits WHERE id IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY score DESC, id) AS rn FROM h),
+    n AS (SELECT chat_id, count(*) FILTER (WHERE score >= 0.55 AND rn <= 8) AS strict, count(*) FILTER (WHERE score >= 0.385 AND rn <= 16) AS relaxed FROM r GROUP BY chat_id)
+    SELECT r.chat_id, r.id, r.rn::BIGINT AS rank, strict < 10 AND relaxed > strict AS relaxed FROM r JOIN n USING (chat_id) WHERE CASE WHEN strict < 10 AND relaxed > strict THEN score >= 0.385 AND rn <= 16 ELSE score >= 0.55 AND rn <= 8 END"""
+)
 def route_relax(s, d):
-    sc = F.coalesce("score", F.lit(0.0))
-    n = _hit_chunks(s, d).groupBy("chat_id").agg(F.count_if(sc >= 0.55).alias("strict"), F.count_if(sc >= 0.385).alias("relaxed"))
-    return n.withColumn("relax", (F.col("strict") < 10) & (F.col("relaxed") > F.col("strict")))
+    h = table(s, d, "hits").filter("id IS NOT NULL").groupBy("chat_id", "id").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("score"))
+    return retrieval.relaxed(h, "chat_id", "id", 8, 0.55).select("chat_id", "id", F.col("rank").cast("long").alias("rank"), "relaxed")
 
 
 @query(f"WITH {DIST}, t AS (SELECT *, {SCORE} AS s FROM (SELECT * FROM k ORDER BY distance, id LIMIT 40)) SELECT coalesce(file_path, relpath, '?') AS file, round(sum(s), 3) AS score FROM t GROUP BY 1 ORDER BY sum(s) DESC, 1 LIMIT 10")
@@ -216,11 +217,8 @@ _THREE = f"""{C}, q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN
 
 @query(f"WITH {_THREE}, t AS (SELECT * FROM r WHERE rn <= 20), f AS (SELECT id, min(vec_id * 1000 + rn) AS o FROM t GROUP BY id) SELECT t.id, t.vec_id AS first_query, round({SCORE}, 6) AS score FROM f JOIN t ON t.id = f.id AND t.vec_id * 1000 + t.rn = f.o")
 def multi_query_dedupe(s, d):
-    rows = chunk_rows(s, d, "embeddings")
-    lists = None
-    for v in (0, 1, 2):
-        near = retrieval.nearest(rows, query_vector(s, d, v), "embeddings", "id", 20).withColumn("first_query", F.lit(v))
-        lists = near if lists is None else lists.unionByName(near)
+    three = table(s, d, "embeddings").filter("vec_id IN (0, 1, 2)").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
+    lists = retrieval.nearest_of_each(chunk_rows(s, d, "embeddings"), three, "embeddings", "id", 20).withColumnRenamed("query", "first_query")
     first = retrieval.first_seen(lists, "id", ["first_query", "distance"])
     return first.select("id", F.col("first_query").cast("long").alias("first_query"), r6(V.score_from_distance(F.col("distance"))).alias("score"))
 
@@ -259,21 +257,26 @@ _SHAPED = f"""{C}, n AS (SELECT *, lower({strip_sql("coalesce(chunk_type, '')")}
   sh AS (SELECT *, {_KIND} AS bucket FROM (SELECT *, lower({strip_sql("header")}) AS h FROM n))"""
 
 
+def _buckets(s, d, *columns):
+    """``(id, columns, bucket)``, an id once; the texts stay where they are read."""
+    b = shaping.inferred_bucket(F.col("chunk_type"), F.col("name"), F.col("document")).alias("bucket")
+    return chunk_rows(s, d, *dict.fromkeys((*columns, "chunk_type", "name", "document"))).select("id", *columns, b).dropDuplicates(["id"])
+
+
 @query(f"WITH {_SHAPED} SELECT id, bucket FROM sh")
 def shape_buckets(s, d):
-    return chunks(s, d, "chunk_type", "name", "document").select("id", shaping.inferred_bucket(F.col("chunk_type"), F.col("name"), F.col("document")).alias("bucket"))
+    return _buckets(s, d)
 
 
-@query(f"WITH {C} SELECT id, book, chapter FROM c WHERE book IS NOT NULL AND chapter = 'Chapter 7'")
+@query(f"WITH {C} SELECT id, book, chapter FROM c WHERE book = 'Optional Triangle Reader'")
 def scope_filter(s, d):
-    c = chunks(s, d, "book", "chapter").filter("book IS NOT NULL")
-    return c.filter(shaping.in_scope(F.col("chapter"), F.col("chapter"), "Chapter 7", None, "book")).select("id", "book", "chapter")
+    return chunks(s, d, "book", "chapter", where=shaping.in_scope(F.col("book"), F.col("chapter"), "Optional Triangle Reader", None, "book"))
 
 
 @query(f"WITH {_SHAPED}, o AS (SELECT *, CASE bucket WHEN 'topics' THEN 0 WHEN 'questions' THEN 1 WHEN 'pages' THEN 2 ELSE 3 END AS p FROM sh), f AS (SELECT file_path, book, chapter, row_number() OVER (PARTITION BY file_path ORDER BY p, id) AS rn FROM o) SELECT file_path, book, chapter FROM f WHERE rn = 1")
 def select_scope(s, d):
-    c = chunks(s, d, "file_path", "chunk_type", "name", "document", "book", "chapter")
-    b = shaping.inferred_bucket(F.col("chunk_type"), F.col("name"), F.col("document"))
+    c = _buckets(s, d, "file_path", "book", "chapter")
+    b = F.col("bucket")
     p = F.when(b == "topics", 0).when(b == "questions", 1).when(b == "pages", 2).otherwise(3)
     first = c.groupBy("file_path").agg(F.min_by(F.struct("book", "chapter"), F.struct(p.alias("p"), F.col("id"))).alias("f"))
     return first.select("file_path", "f.book", "f.chapter")
@@ -305,14 +308,14 @@ def neighbors_page(s, d):
     SELECT lang, floor(avg(n))::INT AS avg_len, coalesce(array_to_string(list_sort(list_distinct(flatten(list(v))))[1:10], ','), '') AS verbs, CASE WHEN bool_or(m) THEN 'latex_like' ELSE 'plain' END AS math_style FROM w GROUP BY lang"""
 )
 def style_profile(s, d):
-    return shaping.style_profile(chunks(s, d, "document", "lang").withColumn("lang", F.coalesce("lang", F.lit("?"))), "lang", "document")
+    return shaping.style_profile(chunk_rows(s, d, "document", "lang").withColumn("lang", F.coalesce("lang", F.lit("?"))), "lang", "document", "id")
 
 
 @query(f"WITH {_SHAPED} SELECT id, file_path, page_number, CASE WHEN length(document) <= 700 THEN document ELSE document[1:700] || '...(+' || (length(document) - 700)::VARCHAR || ' chars)' END AS text FROM sh WHERE bucket = 'tables' AND document IS NOT NULL")
 def edu_pack(s, d):
-    c = chunks(s, d, "file_path", "page_number", "chunk_type", "name", "document").filter("document IS NOT NULL")
+    c = chunk_rows(s, d, "file_path", "page_number", "chunk_type", "name", "document").filter("document IS NOT NULL")
     t = c.filter(shaping.inferred_bucket(F.col("chunk_type"), F.col("name"), F.col("document")) == "tables")
-    return t.select("id", "file_path", "page_number", T.snippet(F.col("document"), 700).alias("text"))
+    return t.select("id", "file_path", "page_number", T.snippet(F.col("document"), 700).alias("text")).dropDuplicates(["id"])
 
 
 @query(f"WITH {C} SELECT id, '[' || concat_ws(', ', file_name, 'p.' || page_number::VARCHAR, chunk_type, 'L' || line_start::VARCHAR || '-' || line_end::VARCHAR) || ']' AS label FROM c")
@@ -323,9 +326,9 @@ def evidence_label(s, d):
 @query(f"WITH {C}, h AS (SELECT DISTINCT chat_id, hit_no, id FROM hits WHERE id IS NOT NULL), o AS (SELECT chat_id, id, min(hit_no) AS hit_no FROM h GROUP BY 1, 2), j AS (SELECT o.*, c.document, row_number() OVER (PARTITION BY chat_id ORDER BY o.hit_no NULLS FIRST, o.id) AS pos FROM o JOIN c USING (id) WHERE {strip_sql('c.document')} <> '') SELECT chat_id, pos, id, {collapse_sql('document[1:400]')} AS text FROM j WHERE pos <= 128")
 def evidence_block(s, d):
     h = table(s, d, "hits").filter("id IS NOT NULL").groupBy("chat_id", "id").agg(F.min("hit_no").alias("hit_no"))
-    j = h.join(chunks(s, d, "document").filter(T.strip(F.col("document")) != ""), "id")
+    c = chunk_rows(s, d, "document").filter(T.strip(F.col("document")) != "").select("id", T.collapse(F.substring("document", 1, 400)).alias("text")).dropDuplicates(["id"])
     w = Window.partitionBy("chat_id").orderBy(F.asc_nulls_first("hit_no"), "id")
-    return j.withColumn("pos", F.row_number().over(w)).filter("pos <= 128").select("chat_id", "pos", "id", T.collapse(F.substring("document", 1, 400)).alias("text"))
+    return h.join(c, "id").withColumn("pos", F.row_number().over(w)).filter("pos <= 128").select("chat_id", "pos", "id", "text")
 
 
 # --- chunking and indexing --------------------------------------------------------------------------------------
@@ -355,18 +358,19 @@ _SPLIT = f"list_filter(list_transform(string_split_regex({strip_sql('document')}
 
 
 def _pages(s, d):
-    c = chunks(s, d, "chunk_type", "page_number", "document").filter((F.lower(F.trim("chunk_type")) == "pdf_page") & F.col("document").isNotNull())
+    """The pages as delivered; what is made of them is counted once by id, when it is narrow."""
+    c = chunk_rows(s, d, "chunk_type", "page_number", "document").filter((F.lower(F.trim("chunk_type")) == "pdf_page") & F.col("document").isNotNull())
     return c.select("id", F.regexp_extract("id", r"^(.*)::[^:]*$", 1).alias("file"), "page_number", "document")
 
 
 @query(f"WITH {_PAGES} SELECT file, page_number, id, length(document[1:16000]) AS n FROM p WHERE {strip_sql('document')} <> ''")
 def pdf_pages(s, d):
-    return _pages(s, d).filter(T.strip(F.col("document")) != "").select("file", "page_number", "id", F.length(T.truncate(F.col("document"), 16000)).cast("long").alias("n"))
+    return _pages(s, d).filter(T.strip(F.col("document")) != "").select("file", "page_number", "id", F.length(T.truncate(F.col("document"), 16000)).cast("long").alias("n")).dropDuplicates(["id"])
 
 
 @query(f"WITH {_PAGES}, b AS (SELECT id, {_SPLIT} AS bl FROM p) SELECT id, unnest(range(1, len(bl) + 1)) AS block_no, sha1(unnest(bl)) AS sha1 FROM b")
 def split_blocks(s, d):
-    return chunking.blocks(_pages(s, d), "document").select("id", F.col("block_no").cast("long").alias("block_no"), F.sha1("block").alias("sha1"))
+    return chunking.blocks(_pages(s, d), "document").select("id", F.col("block_no").cast("long").alias("block_no"), F.sha1("block").alias("sha1")).dropDuplicates(["id", "block_no"])
 
 
 _BLOCK_KIND = f"CASE WHEN regexp_matches(lower({strip_sql('l[1]')}), '^(questions?|exercises?|practice|problems?)\\b') THEN 'questions' WHEN regexp_matches(lower({strip_sql('l[1]')}), '^(answers?|solutions?)\\b') THEN 'answers' WHEN len(list_filter(l, lambda x: length(x) - length(replace(x, '|', '')) >= 2 OR contains(x, chr(9)))) >= 2 THEN 'table' WHEN len(l) = 1 AND length({strip_sql('b')}) BETWEEN 2 AND 80 THEN 'heading' ELSE 'para' END"
@@ -374,14 +378,14 @@ _BLOCK_KIND = f"CASE WHEN regexp_matches(lower({strip_sql('l[1]')}), '^(question
 
 @query(f"WITH {_PAGES}, b AS (SELECT id, unnest({_SPLIT}) AS b FROM p), l AS (SELECT id, b, {lines_sql('b')} AS l FROM b) SELECT {_BLOCK_KIND} AS kind, count(*) AS n, sum(length(b))::BIGINT AS chars FROM l GROUP BY 1")
 def classify_block(s, d):
-    b = chunking.blocks(_pages(s, d), "document").select(chunking.block_kind(F.col("block")).alias("kind"), F.length("block").alias("n"))
+    b = chunking.blocks(_pages(s, d), "document").select("id", "block_no", chunking.block_kind(F.col("block")).alias("kind"), F.length("block").alias("n")).dropDuplicates(["id", "block_no"])
     return b.groupBy("kind").agg(F.count("*").alias("n"), F.sum("n").alias("chars")).select("kind", "n", "chars")
 
 
 @query(f"WITH {_PAGES}, b AS (SELECT id, {_SPLIT} AS bl FROM p), e AS (SELECT id, unnest(range(1, len(bl) + 1)) AS block_no, unnest(bl) AS b FROM b), g AS (SELECT id, block_no, b, length(b) AS n, unnest(range(0, greatest(0, length(b) - 1100) + 980, 980)) AS i FROM e) SELECT id, block_no, (i / 980)::INT + 1 AS seq, i AS char_start, least(n, i + 1100) AS char_end FROM g")
 def pdf_blocks(s, d):
-    b = chunking.blocks(_pages(s, d), "document").select("id", F.col("block_no").cast("long").alias("block_no"), "block")
-    w = chunking.stopping_windows(b, F.length("block"), 1100, 120)
+    b = chunking.blocks(_pages(s, d), "document").select("id", F.col("block_no").cast("long").alias("block_no"), F.length("block").alias("n")).dropDuplicates(["id", "block_no"])
+    w = chunking.stopping_windows(b, F.col("n"), 1100, 120)
     return w.select("id", "block_no", "seq", F.col("start").cast("long").alias("char_start"), F.col("end").cast("long").alias("char_end"))
 
 
@@ -395,12 +399,12 @@ _F = f"{_PAGES}, l AS (SELECT *, {lines_sql('document')} AS l FROM p), f AS (SEL
     SELECT id, coalesce(array_to_string(l[CASE WHEN da THEN 2 ELSE 1 END : len(l) - CASE WHEN dz THEN 1 ELSE 0 END], chr(10)), '') AS cleaned FROM j"""
 )
 def dedupe_headers(s, d):
-    return chunking.repeated_edges(_pages(s, d), "file", "page_number", "document").select("id", "cleaned")
+    return chunking.repeated_edges(_pages(s, d).dropDuplicates(["id"]), "file", "page_number", "document").select("id", "cleaned")
 
 
 @query(f"WITH {_PAGES} SELECT id, sha1(regexp_replace(regexp_replace(replace(replace(regexp_replace(document, '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g')) AS sha1 FROM p")
 def dehyphenate(s, d):
-    return _pages(s, d).select("id", F.sha1(T.dehyphenate(F.col("document"))).alias("sha1"))
+    return _pages(s, d).select("id", F.sha1(T.dehyphenate(F.col("document"))).alias("sha1")).dropDuplicates(["id"])
 
 
 @query(f"SELECT doc_id, sha1({collapse_sql('text')}) AS sha1, length({collapse_sql('text')}) AS n FROM documents")
@@ -416,8 +420,8 @@ def filter_meaningful(s, d):
 
 @query(f"WITH {C} SELECT id, length(document[1:4000]) AS n, length(document) > 4000 AS truncated FROM c WHERE document IS NOT NULL")
 def truncate_text(s, d):
-    c = chunks(s, d, "document").filter("document IS NOT NULL")
-    return c.select("id", F.length(T.truncate(F.col("document"), 4000)).cast("long").alias("n"), (F.length("document") > 4000).alias("truncated"))
+    c = chunk_rows(s, d, "document").filter("document IS NOT NULL")
+    return c.select("id", F.length(T.truncate(F.col("document"), 4000)).cast("long").alias("n"), (F.length("document") > 4000).alias("truncated")).dropDuplicates(["id"])
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE text[1:300] || '...(+' || (length(text) - 300)::VARCHAR || ' chars)' END AS snippet FROM documents WHERE text IS NOT NULL")
@@ -502,8 +506,7 @@ _PATHS = "f AS (SELECT DISTINCT relpath FROM manifest WHERE relpath IS NOT NULL)
 @query(f"WITH {_PATHS} SELECT relpath FROM f WHERE regexp_extract(lower(relpath), '[^/.][^/]*?(\\.[^./]*)$', 1) IN ('', '.py', '.md', '.txt', '.pdf') AND NOT list_has_any(string_split(relpath, '/'), ['tests', 'exports', 'node_modules', '.git']) AND split_part(relpath, '/', -1) <> 'work_journal.txt'")
 def filter_corpus(s, d):
     f = table(s, d, "manifest").select("relpath").filter("relpath IS NOT NULL").distinct()
-    ignored = F.arrays_overlap(F.split("relpath", "/"), F.array(*[F.lit(x) for x in ("tests", "exports", "node_modules", ".git")]))
-    return f.filter(T.extension(F.col("relpath")).isin("", ".py", ".md", ".txt", ".pdf") & ~ignored & (T.base_name(F.col("relpath")) != "work_journal.txt"))
+    return f.filter(corpus.should_index(F.col("relpath"), folders=("tests", "exports", "node_modules", ".git"), files=("work_journal.txt",)))
 
 
 @query(f"WITH {_PATHS} SELECT split_part(relpath, '/', 1) AS top, regexp_extract(lower(relpath), '[^/.][^/]*?(\\.[^./]*)$', 1) AS ext, count(*) AS files FROM f GROUP BY 1, 2")
@@ -526,21 +529,34 @@ def resolve_path(s, d):
     return hints.join(f, "file_name").groupBy("file_name").agg(best).select("file_name", "b.relpath")
 
 
-_SPANS = f"{C}, s AS (SELECT {_PAGE_FILE} AS file, line_start AS a, line_end AS z FROM c WHERE line_start IS NOT NULL AND line_end IS NOT NULL AND contains(document, 'async def')), n AS (SELECT *, CASE WHEN a <= max(z) OVER w + 1 THEN 0 ELSE 1 END AS new_ FROM s WINDOW w AS (PARTITION BY file ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, sum(new_) OVER (PARTITION BY file ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS grp FROM n), ms AS (SELECT file, min(a) AS line_start, max(z) AS line_end, count(*) AS parts FROM g GROUP BY file, grp)"
+_SPANS = f"""{C}, k AS (SELECT {_PAGE_FILE} AS file, line_start, {lines_sql('document')} AS l FROM c WHERE file_ext = '.py' AND line_start IS NOT NULL AND document IS NOT NULL),
+  ln AS (SELECT file, unnest(range(line_start, line_start + len(l))) AS line_no, unnest(l) AS line FROM k), o AS (SELECT file, line_no, max(regexp_extract(line, '^(?:async[\\t ]+)?(def|class)[\\t ]+([A-Za-z_]\\w*)', 1)) AS word, max(regexp_extract(line, '^(?:async[\\t ]+)?(def|class)[\\t ]+([A-Za-z_]\\w*)', 2)) AS name
+    FROM ln WHERE regexp_matches(line, '^[^\\t\\n\\x0b\\f\\r ]') AND NOT regexp_matches(line, '^[#)\\]}}]') GROUP BY 1, 2),
+  la AS (SELECT file, max(line_start + len(l) - 1) AS last FROM k GROUP BY file), nx AS (SELECT *, lead(line_no) OVER (PARTITION BY file ORDER BY line_no) AS next FROM o),
+  sp AS (SELECT file, CASE WHEN word = 'class' THEN 'class' ELSE 'function' END AS kind, name, line_no AS a, coalesce(next - 1, last) AS z FROM nx JOIN la USING (file) WHERE word <> ''),
+  n AS (SELECT *, CASE WHEN a <= max(z) OVER w + 1 THEN 0 ELSE 1 END AS new_ FROM sp WINDOW w AS (PARTITION BY file ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  g AS (SELECT *, sum(new_) OVER (PARTITION BY file ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS grp FROM n), ms AS (SELECT file, min(a) AS line_start, max(z) AS line_end, count(*) AS parts FROM g GROUP BY file, grp)"""
 
 
 def _spans(s, d):
-    return chunks(s, d, "line_start", "line_end", "document").filter(F.col("document").contains("async def")).withColumn("file", F.regexp_extract("id", r"^(.*)::[^:]*$", 1))
+    c = chunk_rows(s, d, "line_start", "file_ext", "document").filter("file_ext = '.py' AND line_start IS NOT NULL AND document IS NOT NULL")
+    return code.line_spans(c.withColumn("file", F.regexp_extract("id", r"^(.*)::[^:]*$", 1)), "file", "document", "line_start")
+
+
+@query(f"WITH {_SPANS} SELECT file, kind, name, a AS line_start, z AS line_end FROM sp")
+def code_spans(s, d):
+    return _spans(s, d).select("file", "kind", "name", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
 @query(f"WITH {_SPANS} SELECT * FROM ms")
 def span_merge(s, d):
-    return chunking.merged_spans(_spans(s, d), "file")
+    m = chunking.merged_spans(_spans(s, d), "file")
+    return m.select("file", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), "parts")
 
 
 @query(f"WITH {_SPANS}, b AS (SELECT *, lag(line_end) OVER (PARTITION BY file ORDER BY line_start) AS before FROM ms) SELECT file, before + 1 AS gap_start, line_start - 1 AS gap_end FROM b WHERE line_start > before + 1")
 def uncovered_regions(s, d):
-    return chunking.gaps(_spans(s, d), "file")
+    return chunking.gaps(_spans(s, d), "file").select("file", F.col("gap_start").cast("long").alias("gap_start"), F.col("gap_end").cast("long").alias("gap_end"))
 
 
 @query()
@@ -559,26 +575,26 @@ def doc_lines(s, d):
 
 @query(f"WITH {C}, l AS (SELECT id, unnest(range(1, len({lines_sql('document')}) + 1)) AS line_no, unnest({lines_sql('document')}) AS line FROM c) SELECT id, line_no, regexp_replace(line, '[\\t\\n\\x0b\\f\\r ]+$', '') AS line FROM l WHERE contains(line, 'logger.debug(')")
 def grep_literal(s, d):
-    g = textsearch.grep(chunks(s, d, "document"), "id", "document", "logger.debug(")
+    g = textsearch.grep(chunk_rows(s, d, "document"), "id", "document", "logger.debug(").dropDuplicates(["id", "line_no"])
     return g.select("id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 @query(f"WITH {C}, l AS (SELECT id, unnest(range(1, len({lines_sql('document')}) + 1)) AS line_no, unnest({lines_sql('document')}) AS line FROM c) SELECT id, line_no, regexp_replace(line, '[\\t\\n\\x0b\\f\\r ]+$', '') AS line FROM l WHERE regexp_matches(line, '(?i)raise [a-z]+error')")
 def grep_regex(s, d):
-    g = textsearch.grep(chunks(s, d, "document"), "id", "document", "raise [a-z]+error", regex=True, ignore_case=True)
+    g = textsearch.grep(chunk_rows(s, d, "document"), "id", "document", "raise [a-z]+error", regex=True, ignore_case=True).dropDuplicates(["id", "line_no"])
     return g.select("id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 @query(f"WITH {C}, l AS (SELECT file_path, id, unnest(range(1, len({lines_sql('document')}) + 1)) AS line_no, unnest({lines_sql('document')}) AS line FROM c), h AS (SELECT * FROM l WHERE contains(line, 'return None')), f AS (SELECT DISTINCT file_path FROM h ORDER BY file_path LIMIT 8), r AS (SELECT h.*, row_number() OVER (PARTITION BY h.file_path ORDER BY id, line_no) AS rn FROM h JOIN f USING (file_path)) SELECT file_path, id, line_no FROM r WHERE rn <= 10")
 def grep_grouped(s, d):
-    c = chunks(s, d, "file_path", "document").filter(F.col("document").contains("return None"))
-    g = textsearch.grep(c, "id", "document", "return None").join(c.select("id", "file_path"), "id")
+    hit = textsearch.grep(chunk_rows(s, d, "document"), "id", "document", "return None").select("id", "line_no").dropDuplicates(["id", "line_no"])
+    g = hit.join(chunks(s, d, "file_path", where=F.col("document").contains("return None")), "id")
     return textsearch.first_lines_by_file(g, "file_path", ["id", "line_no"], 10, 8).select("file_path", "id", F.col("line_no").cast("long").alias("line_no"))
 
 
 @query(f"WITH {C}, a AS (SELECT id, {lines_sql('document')} AS l FROM c WHERE contains(document, 'raise ValueError')), p AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM a), h AS (SELECT * FROM p WHERE contains(l[i], 'raise ValueError')) SELECT id, i AS line_no, array_to_string(list_transform(range(greatest(1, i - 2), least(len(l), i + 2) + 1), lambda j: j::VARCHAR || ':' || l[j]), chr(10)) AS snippet FROM h")
 def grep_context(s, d):
-    g = textsearch.grep_context(chunks(s, d, "document"), "id", "document", "raise ValueError")
+    g = textsearch.grep_context(chunk_rows(s, d, "document"), "id", "document", "raise ValueError").dropDuplicates(["id", "line_no"])
     return g.select("id", F.col("line_no").cast("long").alias("line_no"), "snippet")
 
 
@@ -601,10 +617,11 @@ def analyze_files(s, d):
     return f.select("doc_id", F.col("bytes").cast("long").alias("bytes"), F.col("n_lines").cast("long").alias("n_lines"), "head", "tail")
 
 
-@query(f"WITH {C} SELECT id, contains(document, 'TODO') AS has_todo, contains(document, 'dict(') AS has_dict, contains(document, 'open(') AS has_open FROM c WHERE file_ext = '.py' AND document IS NOT NULL")
+@query(f"WITH {C} SELECT id, contains(document, 'TODO') AS has_todo, contains(document, 'json.loads(') AS has_json_loads, contains(document, 'open(') AS has_open_calls FROM c WHERE document IS NOT NULL")
 def analyze_flags(s, d):
-    c = chunks(s, d, "file_ext", "document").filter("file_ext = '.py' AND document IS NOT NULL")
-    return c.select("id", F.col("document").contains("TODO").alias("has_todo"), F.col("document").contains("dict(").alias("has_dict"), F.col("document").contains("open(").alias("has_open"))
+    c = chunk_rows(s, d, "document").filter("document IS NOT NULL")
+    flags = {"has_todo": "TODO", "has_json_loads": "json.loads(", "has_open_calls": "open("}
+    return c.select("id", *[F.col("document").contains(what).alias(name) for name, what in flags.items()]).dropDuplicates(["id"])
 
 
 @query("WITH r AS (SELECT doc_id, len(regexp_extract_all(text, '(\\w+)_rows')) AS n, regexp_replace(text, '(\\w+)_rows', '\\1_lines', 'g') AS t FROM documents) SELECT doc_id, n::INT AS replacements, sha1(t) AS sha1 FROM r WHERE n > 0")
@@ -623,17 +640,17 @@ def bulk_replace(s, d):
 
 @query(f"WITH {C}, i AS (SELECT id, contains(document, 'open(') AND NOT contains(document, 'with open(') AS naive_open, contains(document, 'except:') OR contains(document, 'except Exception:') AS broad_except FROM c WHERE file_ext = '.py' AND document IS NOT NULL) SELECT * FROM i")
 def detect_issues(s, d):
-    return code.issues(chunks(s, d, "file_ext", "document").filter("file_ext = '.py' AND document IS NOT NULL"), "id", "document", only=False)
+    return code.issues(chunk_rows(s, d, "file_ext", "document").filter("file_ext = '.py' AND document IS NOT NULL"), "id", "document", only=False).dropDuplicates(["id"])
 
 
 _CALLS = f"""{C}, ln AS (SELECT id, unnest(range(1, len({lines_sql('document')}) + 1)) AS line_no, unnest({lines_sql('document')}) AS line FROM c WHERE file_ext = '.py' AND document IS NOT NULL),
   o AS (SELECT *, nullif(regexp_extract(line, '^[\\t\\n\\x0b\\f\\r ]*(?:async[\\t ]+)?def[\\t ]+([A-Za-z_]\\w*)', 1), '') AS own FROM ln), fu AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS func FROM o),
   ca AS (SELECT id, line_no, func, unnest(regexp_extract_all(line, '([A-Za-z_]\\w*)\\(', 1)) AS callee FROM fu WHERE own IS NULL AND func IS NOT NULL),
-  calls AS (SELECT * FROM ca WHERE callee NOT IN ({", ".join(f"'{n}'" for n in code.NOISE)}))"""
+  calls AS (SELECT * FROM ca WHERE callee NOT IN ({", ".join(f"'{n}'" for n in code.NOISE)}) OR callee IN (SELECT own FROM o WHERE own IS NOT NULL))"""
 
 
 def _calls(s, d):
-    return code.line_calls(chunks(s, d, "file_ext", "document").filter("file_ext = '.py' AND document IS NOT NULL"), "id", "document")
+    return code.line_calls(chunk_rows(s, d, "file_ext", "document").filter("file_ext = '.py' AND document IS NOT NULL"), "id", "document")
 
 
 @query(f"WITH {_CALLS} SELECT func, callee, count(*) AS n FROM calls GROUP BY 1, 2")
@@ -653,24 +670,33 @@ def call_graph_dot(s, d):
     return _calls(s, d).select("func", "callee").distinct().select(F.format_string('"%s" -> "%s";', "func", "callee").alias("edge"))
 
 
-@query(f"WITH {C}, l AS (SELECT id, unnest({lines_sql('document')}) AS line FROM c WHERE file_ext = '.py'), i AS (SELECT DISTINCT id, regexp_extract(line, '^(?:import|from)[\\t ]+([A-Za-z_]\\w*)', 1) AS package FROM l) SELECT package, count(*) AS files FROM i WHERE package <> '' GROUP BY 1")
+@query(
+    f"""WITH l AS (SELECT file_path, unnest({lines_sql('document')}) AS line FROM chunk WHERE file_ext = '.py'), i AS (SELECT DISTINCT file_path, lower(regexp_extract(line, '^(?:import|from)[\\t ]+([A-Za-z_]\\w*)', 1)) AS package FROM l),
+    p AS (SELECT DISTINCT package FROM i WHERE package <> ''), t AS (SELECT DISTINCT file_path AS other, package FROM chunk, p WHERE contains(lower(document), package))
+    SELECT i.file_path, count(DISTINCT CASE WHEN t.other <> i.file_path THEN t.other END) AS related FROM i JOIN t USING (package) WHERE package <> '' GROUP BY 1"""
+)
 def related_files(s, d):
-    i = code.imports_of(chunks(s, d, "file_ext", "document").filter("file_ext = '.py'"), "id", "document")
-    return i.groupBy("package").agg(F.count("*").alias("files"))
+    return code.related_files(table(s, d, "chunk").select("file_path", "file_ext", "document"), "file_path", "document", "file_ext")
 
 
 @query()
 def code_structure(s, d):
-    return code.structure(chunks(s, d, "file_ext", "document").filter("file_ext = '.py' AND document IS NOT NULL"), "id", "document")
+    return code.structure(chunk_rows(s, d, "file_ext", "document").filter("file_ext = '.py' AND document IS NOT NULL"), "id", "document").dropDuplicates()
+
 
+_TAIL = "(?s)\\b(?:in|under|inside|within)\\b\\s+([^\\n]*)"
 
-@query("WITH w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(prompt), '[a-z]+')) AS w FROM (SELECT DISTINCT ON (id) id, prompt FROM chats)), di AS (SELECT DISTINCT unnest(string_split(relpath, '/')[:-2]) AS dir FROM manifest), m AS (SELECT w.id, di.dir, 2 AS p FROM w JOIN di ON w.w = di.dir) SELECT id, min(dir) AS dir, sum(p)::BIGINT AS score FROM m GROUP BY id")
+
+@query(
+    f"""WITH t AS (SELECT id, CASE WHEN regexp_matches(lower(prompt), '{_TAIL}') THEN regexp_extract(lower(prompt), '{_TAIL}', 1) ELSE lower(prompt) END AS t FROM (SELECT DISTINCT ON (id) id, prompt FROM chats)),
+    w AS (SELECT id, regexp_replace(w, '^[/.]+|[/.]+$', '', 'g') AS w FROM (SELECT id, unnest(regexp_extract_all(t, '[a-z0-9_\\-/.]+')) AS w FROM t) WHERE w NOT IN ({", ".join(f"'{x}'" for x in code.FOLDER_STOP)})),
+    p AS (SELECT DISTINCT string_split(relpath, '/') AS p FROM manifest WHERE relpath IS NOT NULL), g AS (SELECT p, unnest(range(1, len(p))) AS n FROM p), d AS (SELECT DISTINCT array_to_string(p[1:n], '/') AS dir FROM g),
+    s AS (SELECT w.id, d.dir, sum(CASE WHEN list_contains(string_split(lower(d.dir), '/'), w.w) THEN 2 ELSE 1 END)::BIGINT AS score FROM w JOIN d ON contains(lower(d.dir), w.w) WHERE w.w <> '' GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, dir) AS rn FROM s) SELECT id, dir, score FROM r WHERE rn = 1"""
+)
 def guess_dir(s, d):
-    words = F.array_distinct(F.regexp_extract_all(F.lower("prompt"), F.lit("([a-z]+)"), 1))
-    w = history.unique_chats(table(s, d, "chats").select("id", "prompt")).select("id", F.explode(words).alias("dir"))
-    parts = F.split("relpath", "/")
-    dirs = table(s, d, "manifest").filter("relpath IS NOT NULL").select(F.explode(F.slice(parts, 1, F.size(parts) - 1)).alias("dir")).distinct()
-    return w.join(dirs, "dir").groupBy("id").agg(F.min("dir").alias("dir"), F.sum(F.lit(2)).alias("score"))
+    prompts = history.unique_chats(table(s, d, "chats").select("id", "prompt"))
+    return code.guessed_folders(prompts, table(s, d, "manifest").select("relpath"), "id", "prompt", "relpath")
 
 
 # --- history ------------------------------------------------------------------------------------------------------
@@ -821,8 +847,8 @@ def chart_series(s, d):
 
 @query("SELECT event_type, (json_extract_string(props, '$.k'))::INT AS k, count(*) AS n FROM events GROUP BY 1, 2")
 def json_records(s, d):
-    e = table(s, d, "events").select("event_type", F.from_json("props", "k int").alias("p"))
-    return e.groupBy("event_type", F.col("p.k").alias("k")).agg(F.count("*").alias("n"))
+    e = corpus.json_records(table(s, d, "events").select("event_type", "props"), "props", "k: int")
+    return e.groupBy("event_type", "k").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, sha1(" + collapse_sql("replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>', ' ', 'g'), '<[^<>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')") + ") AS sha1 FROM documents WHERE text IS NOT NULL")
@@ -846,9 +872,9 @@ def ext_asof(s, d):
     return timeseries.asof_join(e.filter("event_type <> 'purchase'"), right, "user_id", "ts", "ts", "value", "event_id")
 
 
-@query("WITH sp AS (SELECT p_partkey, p_retailprice AS lo, p_retailprice + 5 AS hi FROM part WHERE p_size <= 5) SELECT p_partkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN sp ON c_acctbal >= lo AND c_acctbal < hi GROUP BY 1")
+@query("WITH sp AS (SELECT p_partkey, p_retailprice AS lo, p_retailprice + 5 AS hi FROM part) SELECT p_partkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN sp ON c_acctbal >= lo AND c_acctbal < hi GROUP BY 1")
 def ext_range_join(s, d):
-    spans = table(s, d, "part").filter("p_size <= 5").select("p_partkey", F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 5).alias("hi"))
+    spans = table(s, d, "part").select("p_partkey", F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 5).alias("hi"))
     j = timeseries.range_join(table(s, d, "customer").select("c_acctbal"), spans, "c_acctbal", "lo", "hi", 50)
     return j.groupBy("p_partkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
@@ -912,7 +938,7 @@ def stream_event_windows(s, d):
     name = f"stream_event_windows_{uuid.uuid4().hex[:8]}"
     events = table(s, d, "events")
     stream = s.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")
-    out = refresh.drain(refresh.event_windows(stream), name, f"{ensure_checkpoint_dir(s)}/{name}")
+    out = refresh.drain(refresh.event_windows(stream), f"{ensure_checkpoint_dir(s)}/{name}")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -942,12 +968,12 @@ def wanted_counts(s, d):
 
 @query(f"WITH {C} SELECT id, length(replace(document, chr(13), '')) AS n FROM c WHERE document IS NOT NULL")
 def read_doc(s, d):
-    c = chunks(s, d, "document").filter("document IS NOT NULL")
-    return c.select("id", F.length(F.replace(corpus.decoded(F.encode("document", "UTF-8")), F.lit("\r"), F.lit(""))).cast("long").alias("n"))
+    c = chunk_rows(s, d, "document").filter("document IS NOT NULL")
+    return c.select("id", F.length(F.replace(corpus.decoded(F.encode("document", "UTF-8")), F.lit("\r"), F.lit(""))).cast("long").alias("n")).dropDuplicates(["id"])
 
 
 @query(f"WITH {_SHAPED}, h AS (SELECT id, max(score) AS score FROM hits WHERE id IS NOT NULL AND score IS NOT NULL GROUP BY id), j AS (SELECT sh.bucket, h.id, h.score, row_number() OVER (PARTITION BY sh.bucket ORDER BY h.score DESC, h.id) AS rn FROM h JOIN sh USING (id)) SELECT bucket, id, score, rn FROM j WHERE rn <= 3")
 def best_per_bucket(s, d):
     h = table(s, d, "hits").filter("id IS NOT NULL AND score IS NOT NULL").groupBy("id").agg(F.max("score").alias("score"))
-    c = chunks(s, d, "chunk_type", "name", "document").select("id", shaping.inferred_bucket(F.col("chunk_type"), F.col("name"), F.col("document")).alias("bucket"))
+    c = _buckets(s, d)
     return packs.best_per_bucket(h.join(c, "id"), 3).select("bucket", "id", "score", "rn")

@@ -86,8 +86,6 @@ def repeated_edges(pages: DataFrame, doc_col: str, page_col: str, text_col: str)
 
 def merged_spans(spans: DataFrame, key: str, start: str = "line_start", end: str = "line_end", gap: int = 1) -> DataFrame:
     """``(key, line_start, line_end, parts)``: spans that overlap or are at most ``gap`` apart as one."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     s = spans.select(key, F.col(start).alias("line_start"), F.col(end).alias("line_end")).filter("line_start IS NOT NULL AND line_end IS NOT NULL")
     w = Window.partitionBy(key).orderBy("line_start", "line_end")
     before = F.max("line_end").over(w.rowsBetween(Window.unboundedPreceding, -1))

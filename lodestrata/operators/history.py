@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import cut_lineage
+
 SEARCHED = ("prompt", "answer", "mode", "model", "embedder")
 
 
@@ -64,7 +66,7 @@ def with_ids(existing_max: int, fresh: DataFrame, order: list[str]) -> DataFrame
     """Numbers on from ``existing_max``: positions within ranges of the order plus the sizes of the ranges before, no single-task sort."""
     ranged = fresh.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     part, pos = F.shiftright("_m", 33), F.col("_m") % F.lit(1 << 33)
-    ranged = ranged.withColumn("_p", part).withColumn("_i", pos)
+    ranged = cut_lineage(ranged.withColumn("_p", part).withColumn("_i", pos))  # sizes and rows must come from one and the same division
     sizes = ranged.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ranged.join(F.broadcast(sizes.select("_p", "_before")), "_p").withColumn("new_id", F.lit(existing_max) + F.col("_before") + F.col("_i") + 1).drop("_m", "_p", "_i", "_before")
 

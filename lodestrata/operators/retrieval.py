@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +51,55 @@ def distances(rows: DataFrame, query: DataFrame, vector_col: str, dim: int, metr
 def nearest(rows: DataFrame, query: DataFrame, vector_col: str, id_col: str, k: int, dim: int = 64, metric: str = "cosine", where: dict[str, Any] | None = None) -> DataFrame:
     """The k nearest rows by distance, then id; rows with the same id count once.
 
-    Vectors stay where they are read: only what is left without them is brought together by id, and of that every task sends its k best.
+    Every task sends its k best ids only; other columns are fetched for the k that are left.
     """
-    return distances(rows.filter(compile_where(where)), query, vector_col, dim, metric).dropDuplicates([id_col]).orderBy("distance", id_col).limit(k)
+    some = rows.filter(compile_where(where))
+    top = best(distances(some.select(id_col, vector_col), query, vector_col, dim, metric), id_col, k)
+    rest = [c for c in rows.columns if c not in (id_col, vector_col)]
+    if not rest:
+        return top.orderBy("distance", id_col)
+    return some.select(id_col, *rest).join(F.broadcast(top), id_col).dropDuplicates([id_col]).orderBy("distance", id_col)  # k rows are broadcast
+
+
+def best(rows: DataFrame, id_col: str, k: int, by: str | None = None) -> DataFrame:
+    """The k rows ``([by,] id_col, distance)`` of the least (distance, id), of each value of ``by`` if given; rows with the same id count once.
+
+    Each task keeps k a group while it reads, whatever copies there are, so what is shuffled doesn't grow with the table.
+    """
+    keys = [by] if by else []
+    slim = rows.select(*keys, id_col, F.col("distance").cast("double").alias("distance"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[Any, dict[Any, float]] = {}
+        shape = None
+        for b in batches:
+            shape = b.schema
+            d = b.column(len(keys) + 1).to_numpy(zero_copy_only=False)
+            groups = np.array(b.column(0).to_pylist(), dtype=object) if keys else np.zeros(len(d), dtype=object)
+            for g in dict.fromkeys(groups.tolist()):
+                own = kept.setdefault(g, {})
+                at = np.flatnonzero((groups == g) & (d <= (max(own.values()) if len(own) >= k else np.inf)))
+                for i, x in zip(b.column(len(keys)).take(pa.array(at)).to_pylist(), d[at].tolist(), strict=True):
+                    own[i] = x
+                kept[g] = dict(sorted(own.items(), key=lambda p: (p[1], p[0]))[:k])
+        rows_ = [(*((g,) if keys else ()), i, x) for g, own in kept.items() for i, x in own.items()]
+        if rows_:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows_, strict=True), shape, strict=True)], schema=shape)
+
+    tops = slim.mapInArrow(run, schema).dropDuplicates([*keys, id_col])
+    if not by:
+        return tops.orderBy("distance", id_col).limit(k)
+    w = Window.partitionBy(by).orderBy("distance", id_col)
+    return tops.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+
+
+def nearest_of_each(rows: DataFrame, queries: DataFrame, vector_col: str, id_col: str, k: int, dim: int = 64) -> DataFrame:
+    """``(query, id_col, distance)``: the k nearest rows of each query ``(query, qv)``, a bounded list that every task holds; one scan serves all."""
+    q = F.broadcast(queries.agg(F.collect_list(F.struct("query", "qv")).alias("qs")))
+    some = rows.filter(usable(F.col(vector_col), dim)).select(id_col, vector_col).join(q, F.lit(True))
+    each = some.select(id_col, vector_col, F.explode("qs").alias("q")).select(F.col("q.query").alias("query"), id_col, cosine_distance(F.col(vector_col), F.col("q.qv")).alias("distance"))
+    return best(each, id_col, k, "query")
 
 
 def symbol_candidates(text: str) -> list[str]:
@@ -93,19 +142,19 @@ def retrieve(
     specified). Ranks are taken of top-k's, so no window sees the whole table.
     """
     extra = [c for c in ("file_path", "relpath", "name", "symbols", "document") if c in rows.columns]
-    cond = compile_where(where)
-    flag_f = mentions_file(files or []) if files else F.lit(False)
-    flag_s = mentions_symbol(symbols or []) if symbols else F.lit(False)
-    scored = distances(rows.withColumn("passes", F.coalesce(cond, F.lit(False))), query, vector_col, dim)
-    slim = scored.select(id_col, "distance", "passes", flag_f.alias("has_file"), flag_s.alias("has_symbol")) if extra else scored
-    slim = slim.dropDuplicates([id_col])
-    top = lambda df, n: df.orderBy("distance", id_col).limit(n)
-    base = top(slim.filter("passes"), k).select(id_col, "distance", F.lit(1.0).alias("factor"))
-    parts = [base]
+    far_f, far_s = max(2 * k, 16), max(3 * k, 48)
+    passes = F.coalesce(compile_where(where), F.lit(False)).cast("int").alias("passes")
+    scored = distances(rows.select(id_col, vector_col, passes), query, vector_col, dim)
+    # group 1: rows that pass; group 0: all rows, for the boosts
+    both = scored.select(id_col, "distance", F.explode(F.when(F.col("passes") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("group"))
+    tops = best(both, id_col, max(k, far_f, far_s), "group").withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy("distance", id_col)))
+    parts = [tops.filter((F.col("group") == 1) & (F.col("place") <= k)).select(id_col, "distance", F.lit(1.0).alias("factor"))]
+    # texts and names are looked at for the few rows at the top only
+    named = rows.select(id_col, *extra).join(F.broadcast(tops.filter("group = 0")), id_col)
     if files:
-        parts.append(top(slim, max(2 * k, 16)).filter("has_file").select(id_col, "distance", F.lit(1.2).alias("factor")))
+        parts.append(named.filter((F.col("place") <= far_f) & mentions_file(files)).select(id_col, "distance", F.lit(1.2).alias("factor")))
     if symbols:
-        parts.append(top(slim, max(3 * k, 48)).filter("has_symbol").select(id_col, "distance", F.lit(1.3).alias("factor")))
+        parts.append(named.filter((F.col("place") <= far_s) & mentions_symbol(symbols)).select(id_col, "distance", F.lit(1.3).alias("factor")))
     merged = reduce(DataFrame.unionByName, parts).groupBy(id_col).agg(F.min("distance").alias("distance"), F.max("factor").alias("factor"))
     out = merged.select(id_col, "distance", score_from_distance(F.col("distance")).alias("base_score"), (score_from_distance(F.col("distance")) * F.col("factor")).alias("score"), (F.col("factor") > 1).alias("boosted"))
     if min_score is not None:
@@ -116,6 +165,17 @@ def retrieve(
     return out.withColumn("fired", fired).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("fired")
 
 
+def relaxed(hits: DataFrame, by: str, id_col: str, k: int, threshold: float, least: int = 10) -> DataFrame:
+    """``(by, id_col, score, rank, relaxed)``: the k best hits of each ``by`` from ``threshold`` on; where they are fewer than ``least``, max(2k, 16) from 0.7 of it, if that gives more."""
+    wide_k, low = max(2 * k, 16), round(threshold * 0.7, 9)
+    top = hits.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), id_col))).filter(F.col("rank") <= wide_k)
+    strict, loose = (F.col("score") >= threshold) & (F.col("rank") <= k), F.col("score") >= low
+    n = Window.partitionBy(by)  # wide_k rows at most
+    counted = top.withColumn("_s", F.count_if(strict).over(n)).withColumn("_l", F.count_if(loose).over(n))
+    out = counted.withColumn("relaxed", (F.col("_s") < least) & (F.col("_l") > F.col("_s")))
+    return out.filter(F.when(F.col("relaxed"), loose).otherwise(strict)).drop("_s", "_l")
+
+
 def merge_best(primary: DataFrame, extra: DataFrame, id_col: str, boost: float = 1.15) -> DataFrame:
     """Both lists by id with the better score, that of ``extra`` multiplied by ``boost``; rows of ``extra`` without id are left out."""
     both = primary.select(id_col, "score").unionByName(extra.filter(F.col(id_col).isNotNull()).select(id_col, (F.col("score") * boost).alias("score")))

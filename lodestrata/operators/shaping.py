@@ -67,12 +67,12 @@ def siblings(chunks: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 VERBS = "explain|derive|prove|calculate|show|define|list|choose|find|evaluate|simplify"
 
 
-def style_profile(texts: DataFrame, by: str, text_col: str) -> DataFrame:
-    """``(by, avg_len, verbs, math_style)``: words a text, task verbs in order (ten at most), whether formulas occur."""
+def style_profile(texts: DataFrame, by: str, text_col: str, id_col: str) -> DataFrame:
+    """``(by, avg_len, verbs, math_style)``: words a text, task verbs in order (ten at most), whether formulas occur; an id counts once."""
     words = F.size(F.filter(F.split(F.coalesce(text_col, F.lit("")), r"[\t-\r ]+"), lambda w: w != ""))
     verbs = F.transform(F.regexp_extract_all(F.col(text_col), F.lit(rf"(?i)\b({VERBS})\b"), 1), F.lower)
     math = F.col(text_col).rlike(r"\\frac|\\int|\\sum|\$|²|³")
-    s = texts.select(by, words.alias("w"), F.array_distinct(verbs).alias("v"), math.alias("m"))
+    s = texts.select(id_col, by, words.alias("w"), F.array_distinct(verbs).alias("v"), math.alias("m")).dropDuplicates([id_col])
     a = s.groupBy(by).agg(F.floor(F.avg("w")).cast("int").alias("avg_len"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("v")))).alias("verbs"), F.max(F.coalesce(F.col("m"), F.lit(False))).alias("m"))  # sets of eleven verbs at most
     return a.select(by, "avg_len", F.array_join(F.slice("verbs", 1, 10), ",").alias("verbs"), F.when(F.col("m"), "latex_like").otherwise("plain").alias("math_style"))
 

@@ -42,8 +42,22 @@ def first_seen_events(events: DataFrame, id_col: str = "event_id", ts_col: str =
     return events.dropDuplicates([id_col])
 
 
-def drain(df: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a streaming frame over what has arrived and returns the result as a table."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(df: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a streaming frame over what has arrived and returns the result, which lies as Parquet in ``folder`` and never on the driver.
+
+    In complete mode every batch writes a version and the last one counts; in append mode all batches together are the result. A batch that is
+    repeated after a failure writes its own version again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}-progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(table)
+    last = q.lastProgress
+    spark = df.sparkSession
+    if not last:
+        return spark.createDataFrame([], df.schema)
+    if mode == "complete":
+        return spark.read.schema(df.schema).parquet(f"{folder}/batch={last['batchId']}")
+    return spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(folder)

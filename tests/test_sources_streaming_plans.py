@@ -51,8 +51,8 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     df.coalesce(2).write.parquet(str(tmp_path / "ev"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "ev"))
     key = lambda d: sorted(map(tuple, d.collect()))
-    assert key(refresh.drain(refresh.event_windows(stream, size="2 hours", slide="1 hour"), "w1", str(tmp_path / "c1"))) == key(refresh.event_windows(df, size="2 hours", slide="1 hour"))
-    assert refresh.drain(refresh.first_seen_events(stream), "w2", str(tmp_path / "c2"), "append").count() == 50 == refresh.first_seen_events(df).count()
+    assert key(refresh.drain(refresh.event_windows(stream, size="2 hours", slide="1 hour"), str(tmp_path / "c1"))) == key(refresh.event_windows(df, size="2 hours", slide="1 hour"))
+    assert refresh.drain(refresh.first_seen_events(stream), str(tmp_path / "c2"), "append").count() == 50 == refresh.first_seen_events(df).count()
 
 
 def test_evidence_pack(spark):
