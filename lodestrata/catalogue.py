@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
-from lodestrata.operators import chunking, code, graph, history, indexing, intents, retrieval, rewriting, shaping, textsearch, timeseries
+from lodestrata.operators import building, chunking, code, graph, history, indexing, intents, retrieval, rewriting, shaping, textsearch, timeseries
 from lodestrata.plans import packs
 from lodestrata.session import ensure_checkpoint_dir, table
 from lodestrata.sources import corpus
@@ -459,6 +459,38 @@ def index_build(s, d):
     return per.groupBy("source").agg(F.count("*").alias("files"), F.sum("c").alias("chunks"), F.sum("n").alias("chars"))
 
 
+_FILES = f"""fl AS (SELECT project, relpath, floor(epoch(updated_at))::BIGINT AS mtime, text FROM documents WHERE relpath IS NOT NULL UNION ALL SELECT profile, id || '.py', mtime, document FROM (SELECT DISTINCT ON (id) * FROM chunk) WHERE file_ext = '.py'),
+  mf AS (SELECT *, {collapse_sql('text')} AS t, {lines_sql('text')} AS l FROM fl WHERE length({strip_sql("coalesce(text, '')")}) >= 8 AND regexp_matches(text, '[A-Za-z0-9]')),
+  ck AS (SELECT project, relpath, mtime, 'text' AS chunk_type, unnest(range(0, length(t), 980)) AS i, t, NULL AS l FROM mf WHERE NOT ends_with(relpath, '.py') UNION ALL SELECT project, relpath, mtime, 'code', unnest(range(0, greatest(0, len(l) - 120) + 100, 100)), NULL, l FROM mf WHERE ends_with(relpath, '.py')),
+  cf AS (SELECT *, (CASE WHEN chunk_type = 'text' THEN i / 980 ELSE i / 100 END)::INT + 1 AS seq, CASE WHEN chunk_type = 'text' THEN t[i + 1 : i + 1100] ELSE array_to_string(l[i + 1 : i + 120], chr(10)) END AS document FROM ck)"""
+
+
+def _files(s, d):
+    """Documents, and code windows as files of their own."""
+    docs = table(s, d, "documents").filter("relpath IS NOT NULL").select("project", "relpath", F.unix_timestamp(F.col("updated_at").cast("timestamp")).alias("mtime"), "text")
+    code_ = chunks(s, d, "profile", "mtime", "document", where="file_ext = '.py'").select(F.col("profile").alias("project"), F.concat("id", F.lit(".py")).alias("relpath"), "mtime", F.col("document").alias("text"))
+    return docs.unionByName(code_)
+
+
+@query(f"WITH {_FILES} SELECT relpath, chunk_type, seq, coalesce(project, '-') || '-' || sha1(coalesce(project, '-'))[1:8] || '::' || concat_ws('::', relpath, mtime::VARCHAR, seq::VARCHAR) AS key, sha1(document) AS sha1 FROM cf")
+def index_chunks(s, d):
+    key = building.file_key(F.coalesce("project", F.lit("-")), F.col("relpath"), F.col("mtime"), F.col("seq"))
+    return building.chunk_files(_files(s, d)).select("relpath", "chunk_type", "seq", key.alias("key"), F.sha1("document").alias("sha1"))
+
+
+@query(f"WITH {_FILES} SELECT chunk_type, count(DISTINCT relpath) AS files, count(*) AS chunks, count(*) FILTER (WHERE regexp_matches(document, '[\\p{{L}}\\p{{N}}_]')) AS with_vector FROM cf GROUP BY 1")
+def index_embed(s, d):
+    """The whole way from files to chunks with vectors, summed up."""
+    v = building.embedded(building.chunk_files(_files(s, d)).select("relpath", "chunk_type", "document"), "document", building.hashed_words(64), 64)
+    per = v.select("relpath", "chunk_type", F.exists("embeddings", lambda x: x != 0).alias("has")).groupBy("relpath", "chunk_type").agg(F.count("*").alias("n"), F.count_if("has").alias("w"))
+    return per.groupBy("chunk_type").agg(F.count("*").alias("files"), F.sum("n").alias("chunks"), F.sum("w").alias("with_vector"))
+
+
+@query(f"WITH {_FILES} SELECT relpath, mtime, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM fl")
+def index_manifest(s, d):
+    return building.manifest_of(_files(s, d))
+
+
 @query(f"WITH {C} SELECT file_path, count(*) AS chunks, max(mtime) AS mtime, count(document) AS texts FROM c GROUP BY file_path")
 def index_stats(s, d):
     return chunks(s, d, "file_path", "mtime", "document").groupBy("file_path").agg(F.count("*").alias("chunks"), F.max("mtime").alias("mtime"), F.count("document").alias("texts"))
