@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import wide
+
 # Fixed values of the problem's statement.
 MARKERS = frozenset({"todo", "fixme", "tbd", "xxx"})
 FILLER = ("the", "a", "an", "and", "of", "to", "for", "in", "this", "it", "function", "method")
@@ -333,7 +335,7 @@ def document_pairs(chunks: DataFrame, with_text: bool = True) -> DataFrame:
     """
     fields = [f for f in _FIELDS if with_text or f[0] not in ("code", "documentation")]
     py = chunks.filter(F.lower(F.trim("file_ext")) == ".py").filter(F.col("document").isNotNull())
-    py = py.select("id", "document", F.concat_ws("; ", "name", F.array_join("symbols", "; ")).alias("labels")).dropDuplicates(["id"])
+    py = py.select("id", "document", F.concat_ws("; ", "name", F.array_join("symbols", "; ")).alias("labels")).dropDuplicates(["id"]).repartition(wide(chunks.sparkSession))  # a width of its own for the heavy work
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

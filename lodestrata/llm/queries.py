@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": lambda s, d: scanrepair.found(table(s, d, "chunk"), table(s, d, "lexicon")),
     "p5_repaired": lambda s, d: scanrepair.repaired(table(s, d, "chunk"), table(s, d, "lexicon")),
     "p6_found": lambda s, d: splitter.found(table(s, d, "chunk"), table(s, d, "size_limits")),
+    "p6_cover": lambda s, d: splitter.covered(table(s, d, "chunk"), table(s, d, "size_limits")),
     "p6_pieces": lambda s, d: splitter.split_oversized(table(s, d, "chunk"), table(s, d, "size_limits")),
     "p7_ids": lambda s, d: tokenids.encode_corpus(table(s, d, "documents")),
     "p8_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
@@ -41,4 +42,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT id, CASE WHEN list_max(list_transform(string_split_regex(document, '[\s.!?;。！？]'), lambda x: length(x))) > m
                         THEN 'forced' ELSE 'natural' END AS cut
         FROM j WHERE length(document) > m""",
+    "p6_cover": """
+        WITH l AS (SELECT lower(trim(chunk_type)) AS kind, max_chars FROM size_limits),
+        c AS (SELECT DISTINCT id, document, lower(trim(chunk_type)) AS kind FROM chunk WHERE document IS NOT NULL)
+        SELECT c.id, length(c.document)::BIGINT AS chars FROM c LEFT JOIN l ON l.kind = c.kind AND l.kind <> '*'
+        WHERE length(c.document) > coalesce(l.max_chars, (SELECT max_chars FROM l WHERE kind = '*'))""",
 }

@@ -27,6 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import wide
+
+MAX_TYPES = 10_000  # a limit for each is held by every task
+
 _BOUNDARY = re.compile(r"(?P<p>\s*\n[ \t\r]*\n\s*)|(?P<l>[ \t\r]*\n[ \t]*)|(?P<s>[.!?;。！？；]+[\"'”’»)\]]*\s?)|(?P<c>[,:，、：]+\s)|(?P<w>\s+)")
 _STRENGTH = {"p": 5, "l": 4, "s": 3, "c": 2, "w": 1}
 
@@ -113,6 +117,8 @@ def split_oversized(chunks: DataFrame, limits: DataFrame, with_text: bool = True
     """The pieces of every chunk whose document exceeds the limit of its type."""
     kind = F.lower(F.regexp_replace(F.col("chunk_type"), r"(?U)^\s+|\s+$", ""))
     lim = limits.select(F.lower(F.trim("chunk_type")).alias("kind"), "max_chars", "overlap_chars").filter("max_chars > 0").dropDuplicates(["kind"])
+    if lim.limit(MAX_TYPES + 1).count() > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} types; raise MAX_TYPES if executors can hold a row for each")
     rest = lim.filter("kind = '*'").select(F.col("max_chars").alias("any_max"), F.col("overlap_chars").alias("any_overlap"))
     rows = chunks.select("id", "chunk_type", "page_number", "document", kind.alias("kind")).filter(F.col("document").isNotNull())
     rows = rows.join(F.broadcast(lim.filter("kind <> '*'")), "kind", "left").join(F.broadcast(rest), F.lit(True), "left")  # size_limits has a row a type
@@ -121,7 +127,7 @@ def split_oversized(chunks: DataFrame, limits: DataFrame, with_text: bool = True
         F.coalesce("max_chars", "any_max").alias("max_chars"),
         F.coalesce(F.when(F.col("max_chars").isNotNull(), F.col("overlap_chars")).otherwise(F.col("any_overlap")), F.lit(0)).alias("overlap_chars"),
     )
-    over = rows.filter(F.length("document") > F.col("max_chars")).dropDuplicates(["id"])
+    over = rows.filter(F.length("document") > F.col("max_chars")).dropDuplicates(["id"]).repartition(wide(chunks.sparkSession))  # a width of its own for the heavy work
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,3 +151,9 @@ def found(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """``(id, cut)``: whether the split of an oversized chunk had to be forced anywhere."""
     p = split_oversized(chunks, limits, with_text=False)
     return p.groupBy("id").agg(F.when(F.max("forced"), "forced").otherwise("natural").alias("cut"))
+
+
+def covered(chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    """``(id, chars)``: how many characters the pieces of a chunk hold without their overlap; they give back the document."""
+    p = split_oversized(chunks, limits, with_text=False)
+    return p.groupBy("id").agg(F.sum(F.col("char_end") - F.col("char_start") - F.col("overlap")).alias("chars"))
