@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +19,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
     e = cut_lineage(e)
-    rounds: list[DataFrame] = []
     total: DataFrame | None = None
     for k in range(max_rounds):
         if e.isEmpty():
@@ -34,7 +31,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             total.alias("t").join(step.withColumnRenamed("node", "n2").withColumnRenamed("to", "to2"), F.col("to") == F.col("n2"), "left")
             .select("node", F.coalesce("to2", "to").alias("to"))
         )
-        rounds.append(step)
         a = step.select(F.col("node").alias("u"), F.col("to").alias("pu"))
         b = step.select(F.col("node").alias("v"), F.col("to").alias("pv"))
         e = e.join(a, "u").join(b, "v").filter("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
@@ -48,10 +44,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
 def reachable(edges: DataFrame, starts: DataFrame, depth: int, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(start, node, depth)``: the least number of edges, at most ``depth``, from each start to each node."""
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
-    front = starts.select(F.col(starts.columns[0]).alias("start"), F.col(starts.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0))
-    seen = [front]
+    e = cut_lineage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
+    front = starts.select(F.col(starts.columns[0]).alias("start"), F.col(starts.columns[0]).alias("node")).distinct()
+    seen = front = cut_lineage(front.withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
-        front = front.join(e, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct().withColumn("depth", F.lit(d))
-        seen.append(front)
-    return reduce(DataFrame.unionByName, seen).groupBy("start", "node").agg(F.min("depth").alias("depth"))
+        new = front.join(e, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
+        front = cut_lineage(new.withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.select("start", "node", "depth")

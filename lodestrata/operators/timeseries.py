@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 
 def bucket_label(ts: Column, freq: str) -> Column:
@@ -45,12 +46,22 @@ def sessions(events: DataFrame, user_col: str, ts_col: str, gap_seconds: int) ->
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str, left_id: str) -> DataFrame:
-    """For every left row the ``value`` of the latest right row of its key at or before it: one sort by (key, time) over both sides, no pairs."""
+    """For every left row the ``value`` of the latest right row of its key at or before it; no pairs are made.
+
+    Both sides are sorted together by (key, day, time), so a key with very many rows is spread over its days; what is valid at a day's begin comes from
+    the last right rows of the days before it, one a day. Times that aren't dates make one day.
+    """
     both = left.select(key, F.col(left_ts).alias("t"), F.lit(1).alias("side"), F.col(left_id).alias("lid"), F.lit(None).cast(right.schema[value].dataType).alias("v"), F.lit(None).cast(right.schema[right_ts].dataType).alias("rt")).unionByName(
         right.select(key, F.col(right_ts).alias("t"), F.lit(0).alias("side"), F.lit(None).cast(left.schema[left_id].dataType).alias("lid"), F.col(value).alias("v"), F.col(right_ts).alias("rt"))
     )
-    w = Window.partitionBy(key).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("asof_ts", F.last("rt", True).over(w)).withColumn("asof_value", F.last("v", True).over(w)).filter("side = 1").select(F.col("lid").alias(left_id), key, "asof_ts", "asof_value")
+    both = both.withColumn("day", F.to_date("t") if isinstance(left.schema[left_ts].dataType, (DateType, TimestampType, TimestampNTZType)) else F.lit(None).cast("date"))
+    days = both.groupBy(key, "day").agg(F.max_by(F.struct("rt", "v"), F.when(F.col("side") == 0, F.col("t"))).alias("last"))
+    ahead = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(F.col(key).alias("_key"), F.col("day").alias("_day"), F.last(F.when(F.col("last.rt").isNotNull(), F.col("last")), True).over(ahead).alias("carried"))
+    w = Window.partitionBy(key, "day").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("own", F.last(F.when(F.col("side") == 0, F.struct("rt", "v")), True).over(w)).filter("side = 1")
+    out = own.join(days, F.col(key).eqNullSafe(F.col("_key")) & F.col("day").eqNullSafe(F.col("_day")), "left").withColumn("got", F.coalesce("own", "carried"))
+    return out.select(F.col("lid").alias(left_id), key, F.col("got.rt").alias("asof_ts"), F.col("got.v").alias("asof_value"))
 
 
 def range_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, width: int) -> DataFrame:
