@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -96,6 +97,11 @@ def drop_written(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished rounds, which otherwise stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark's cleaner delete the shuffle files of finished rounds, which otherwise stay until the driver happens to collect its garbage.
+
+    What holds them is released in two steps (plans, then the shuffles they refer to), and the cleaner works on its own, so it is given a moment after each.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
