@@ -775,6 +775,12 @@ def history_append(s, d):
     return history.with_ids(1_000_000, history.appendable(chats(s, d)), ["ts", "id"]).select("id", "new_id", "model")
 
 
+@query(f"WITH {H} SELECT id, project FROM ch WHERE answer IS NOT NULL")
+def history_delete(s, d):
+    all_chats = chats(s, d)
+    return history.without(all_chats, all_chats.filter("answer IS NULL")).select("id", "project")
+
+
 def _one_line_sql(c: str, n: int) -> str:
     x = collapse_sql(c)
     return f"CASE WHEN length({x}) <= {n} THEN {x} ELSE {x}[1:{n - 1}] || '…' END"
@@ -877,6 +883,14 @@ def chart_series(s, d):
     return table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("""WITH m AS (SELECT last_day(o_orderdate::DATE) AS x, avg(o_orderkey) AS k, avg(o_custkey) AS c, avg(o_totalprice) AS p FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+      sp AS (SELECT last_day(unnest(generate_series((SELECT date_trunc('month', min(o_orderdate)) FROM orders), (SELECT max(o_orderdate) FROM orders), INTERVAL 1 MONTH))::DATE) AS x)
+      SELECT sp.x, s.series, round(CASE s.series WHEN 'o_orderkey' THEN k WHEN 'o_custkey' THEN c ELSE p END, 4) AS value
+      FROM sp LEFT JOIN m ON m.x = sp.x, (VALUES ('o_orderkey'), ('o_custkey'), ('o_totalprice')) s(series)""")
+def chart_axes(s, d):
+    return timeseries.series(table(s, d, "orders"), freq="M").withColumn("value", F.round("value", 4))
+
+
 @query("SELECT event_type, (json_extract_string(props, '$.k'))::INT AS k, count(*) AS n FROM events GROUP BY 1, 2")
 def json_records(s, d):
     e = corpus.json_records(table(s, d, "events").select("event_type", "props"), "props", "k: int")

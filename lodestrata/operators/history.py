@@ -62,6 +62,12 @@ def appendable(chats: DataFrame) -> DataFrame:
     return kept.fillna("", ["ts_iso", "project_path", "mode", "model", "embedder", "prompt"]).fillna(0, ["streaming", "rag_on"])
 
 
+def without(chats: DataFrame, keys: DataFrame) -> DataFrame:
+    """The chats but for those of ``keys`` (project, id); a null project is a project of its own. Written as a new version, this is the delete."""
+    k = keys.select(F.col("project").alias("_project"), F.col("id").alias("_id"))
+    return chats.join(k, F.col("project").eqNullSafe(F.col("_project")) & (F.col("id") == F.col("_id")), "left_anti")
+
+
 def with_ids(existing_max: int, fresh: DataFrame, order: list[str]) -> DataFrame:
     """Numbers on from ``existing_max``: positions within ranges of the order plus the sizes of the ranges before, no single-task sort."""
     ranged = fresh.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ordering import running_total
+
 
 def latest_manifest(manifest: DataFrame) -> DataFrame:
     """``(relpath, mtime, size)``, one row a file: the newest version (a known size before a null one)."""
@@ -30,9 +32,8 @@ def apply_delta(index: DataFrame, difference: DataFrame, fresh: DataFrame, path_
 
 
 def chunk_keys(chunks: DataFrame, root: Column, order: list[Column], path_col: str = "relpath") -> DataFrame:
-    """Adds ``seq`` (1.. within a file, in order) and ``key`` root-sha1[:8]::path::mtime::seq."""
-    seq = F.row_number().over(Window.partitionBy(path_col, "mtime").orderBy(*order))
-    out = chunks.withColumn("seq", seq)
+    """Adds ``seq`` (1.. within a file, in order) and ``key`` root-sha1[:8]::path::mtime::seq. A file of very many chunks is spread over tasks."""
+    out = running_total(chunks, [path_col, "mtime"], order, F.lit(1), "seq")
     return out.withColumn("key", F.concat_ws("::", F.concat(root, F.lit("-"), F.substring(F.sha1(root), 1, 8)), F.col(path_col), F.col("mtime").cast("string"), F.col("seq").cast("string")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import split_lines, strip
+from lodestrata.operators.ordering import beside
 
 # Chunk types by bucket.
 BUCKETS = {
@@ -59,9 +60,8 @@ def page_neighbours(seeds: DataFrame, pool: DataFrame, file_col: str, before: in
 
 
 def siblings(chunks: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Adds ``prev_chunk`` and ``next_chunk``: the ids before and after in order within ``by``."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return chunks.withColumn("prev_chunk", F.lag("id").over(w)).withColumn("next_chunk", F.lead("id").over(w))
+    """Adds ``prev_chunk`` and ``next_chunk``: the ids before and after in order within ``by``. A group of very many chunks is spread over tasks."""
+    return beside(chunks, by, order, "id", "prev_chunk", "next_chunk")
 
 
 VERBS = "explain|derive|prove|calculate|show|define|list|choose|find|evaluate|simplify"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
+
+from lodestrata.operators.ordering import running_total
 
 
 def bucket_label(ts: Column, freq: str) -> Column:
@@ -13,20 +15,78 @@ def bucket_label(ts: Column, freq: str) -> Column:
     return {"D": d, "W": F.date_add(F.date_trunc("week", ts).cast("date"), 6), "M": F.last_day(d)}[freq]
 
 
+def spine(buckets: DataFrame, name: str, freq: str) -> DataFrame:
+    """``(name)``: every bucket from the first to the last of ``buckets``."""
+    step = {"D": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month"}[freq]
+    ends = buckets.agg(F.min(name).alias("a"), F.max(name).alias("z"))
+    day = F.explode(F.sequence(F.trunc("a", "month") if freq == "M" else F.col("a"), F.col("z"), F.expr(step)))
+    return ends.filter("a IS NOT NULL").select(day.alias("d")).select((F.last_day("d") if freq == "M" else F.col("d")).alias(name))
+
+
+def medians(df: DataFrame, by: str, value: str) -> DataFrame:
+    """``(by, median)``, exact, the mean of the two in the middle for an even number; nulls don't count.
+
+    Equal values are counted first, and the counts added up over ranges of the values, so that no task holds all values of a group.
+    """
+    counted = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = running_total(counted, [by], ["_v"], F.col("_c"), "_upto")
+    n = upto.groupBy(by).agg(F.sum("_c").alias("_all"))
+    at = lambda rank: F.max(F.when((F.expr(rank) > F.col("_upto") - F.col("_c")) & (F.expr(rank) <= F.col("_upto")), F.col("_v")))
+    middle = upto.join(n, by).groupBy(by).agg(at("(_all + 1) div 2").alias("_lo"), at("(_all + 2) div 2").alias("_hi"))
+    return middle.select(by, ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
+
+
 def resample(df: DataFrame, ts_col: str, value_col: str, freq: str) -> DataFrame:
     """``(bucket, mean, sum, min, max, median, n)`` of every bucket from the first to the last; empty ones have sum 0 and nulls.
 
-    Rows are aggregated before anything else; the spine of buckets is as long as the time span, not the data.
+    Rows are aggregated before anything else; the spine of buckets is as long as the time span, not the data. The median is exact.
     """
-    v = F.col(value_col)
-    agg = df.filter(F.col(ts_col).isNotNull()).groupBy(bucket_label(F.col(ts_col), freq).alias("bucket")).agg(
-        F.avg(v).alias("mean"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"), F.count(v).alias("n")
-    )
-    step = {"D": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month"}[freq]
-    ends = agg.agg(F.min("bucket").alias("a"), F.max("bucket").alias("z"))
-    day = F.explode(F.sequence(F.trunc("a", "month") if freq == "M" else F.col("a"), F.col("z"), F.expr(step)))
-    spine = ends.filter("a IS NOT NULL").select(day.alias("d")).select((F.last_day("d") if freq == "M" else F.col("d")).alias("bucket"))
-    return spine.join(agg, "bucket", "left").withColumn("sum", F.coalesce("sum", F.lit(0.0))).withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = df.filter(F.col(ts_col).isNotNull()).select(bucket_label(F.col(ts_col), freq).alias("bucket"), F.col(value_col).alias("v"))
+    agg = rows.groupBy("bucket").agg(F.avg("v").alias("mean"), F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("n"))
+    agg = agg.join(medians(rows, "bucket", "v"), "bucket", "left").select("bucket", "mean", "sum", "min", "max", "median", "n")
+    return spine(agg, "bucket", freq).join(agg, "bucket", "left").withColumn("sum", F.coalesce("sum", F.lit(0.0))).withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def pick_x(df: DataFrame, want: str | None = None) -> str:
+    """The column of the horizontal axis: the one asked for, else the first with "date" or "time" in its name, else the first."""
+    if want in df.columns:
+        return want
+    return next((c for c in df.columns if "date" in c.lower() or "time" in c.lower()), df.columns[0])
+
+
+def pick_y(df: DataFrame, want: str | list[str] | None = None) -> list[str]:
+    """The columns of values: those asked for (a list or a text divided by commas) that exist, else all numeric ones, else the second column."""
+    if want is None:
+        return [f.name for f in df.schema if isinstance(f.dataType, NumericType)] or df.columns[1:2]
+    names = [c.strip() for c in want.split(",")] if isinstance(want, str) else want
+    return [c for c in names if c in df.columns]
+
+
+def _as_times(df: DataFrame, x: str) -> DataFrame:
+    """``df`` with texts of ``x`` as timestamps when every one that isn't null is one, else unchanged."""
+    t = F.try_to_timestamp(F.col(x))
+    wrong = df.filter(F.col(x).isNotNull() & t.isNull()).limit(1).count()
+    return df if wrong else df.withColumn(x, t)
+
+
+def series(df: DataFrame, x: str | None = None, y: str | list[str] | None = None, freq: str | None = None, parse_dates: bool = True) -> DataFrame:
+    """``(x, series, value)``: the data of a chart, long, a row for each row (or bucket) and column of values.
+
+    Axes are chosen by ``pick_x`` and ``pick_y``; texts on the horizontal axis become times if all of them are. With ``freq`` (D, W or M) times are put into buckets with
+    the mean of each column, buckets without rows have null; an axis that isn't of times is left as it is.
+    """
+    x, names = pick_x(df, x), pick_y(df, y)
+    rows = df.select(F.col(x).alias("x"), *[F.col(c).alias(f"y{i}") for i, c in enumerate(names)])
+    if parse_dates and isinstance(rows.schema["x"].dataType, StringType):
+        rows = _as_times(rows, "x")
+    is_time = isinstance(rows.schema["x"].dataType, (DateType, TimestampType, TimestampNTZType))
+    values = [f"y{i}" for i, f in enumerate(rows.schema.fields[1:]) if not (freq and is_time) or isinstance(f.dataType, NumericType)]
+    if freq and is_time:
+        means = rows.filter("x IS NOT NULL").groupBy(bucket_label(F.col("x"), freq).alias("x")).agg(*[F.avg(v).alias(v) for v in values], F.count("*").alias("_n"))
+        rows = spine(means, "x", freq).join(means, "x", "left")
+    kind = "double" if all(isinstance(rows.schema[v].dataType, NumericType) for v in values) else "string"
+    pairs = F.explode(F.array(*[F.struct(F.lit(names[int(v[1:])]).alias("series"), F.col(v).cast(kind).alias("value")) for v in values]))
+    return rows.select("x", pairs.alias("p")).select("x", "p.series", "p.value")
 
 
 def histogram(df: DataFrame, value_col: str, bins: int = 30) -> DataFrame:
