@@ -371,11 +371,11 @@ def found(chunks: DataFrame) -> DataFrame:
 # --- queries -------------------------------------------------------------------------------------------------
 
 
-def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int, k: int = 5, beam: int = 24, width: int = 6, seed: int = 3) -> DataFrame:
+def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int, k: int = 5, beam: int = 24, width: int = 24, seed: int = 3) -> DataFrame:
     """``(query, node, similarity, rank)``: greedy walks over the graph from ``(query, vec)``.
 
-    All queries walk at once, a hop being a join with the graph and one with the vectors: each query opens its ``width`` most similar
-    nodes that aren't open yet, hears of their neighbours (in both directions) and keeps the ``beam`` best; it is done when all it keeps are
+    All queries walk at once, a hop being a join with the graph and one with the vectors, both read as a whole, so that few hops with many nodes
+    are cheaper than many with few: each query opens its ``width`` most similar nodes that aren't open yet, hears of their neighbours (in both directions) and keeps the ``beam`` best; it is done when all it keeps are
     open, and the walk when all queries are. Entry points are random nodes, four times the square root of their number, which every task holds.
     What the queries hold is broadcast to the graph as long as it is small, so that a hop shuffles only that; beyond it both sides are shuffled.
     """
@@ -435,7 +435,8 @@ def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: in
         for t in (held, now, new):
             drop_written(t)
         held = after
-        free_shuffles(spark)
+        if asked * beam > BROADCAST_ROWS:  # else a hop shuffles what the queries hold, and no more
+            free_shuffles(spark)
         if held.filter("NOT open").isEmpty():
             break
     final = nodes.select("node", "vec").join(narrow(held.select("query", "node"), beam), "node").join(q, "query").select("query", "node", "vec", "qv").mapInArrow(exact, fields)
