@@ -371,11 +371,11 @@ def found(chunks: DataFrame) -> DataFrame:
 # --- queries -------------------------------------------------------------------------------------------------
 
 
-def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int, k: int = 5, beam: int = 24, width: int = 24, seed: int = 3) -> DataFrame:
+def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int, k: int = 5, beam: int = 24, width: int = 12, seed: int = 3) -> DataFrame:
     """``(query, node, similarity, rank)``: greedy walks over the graph from ``(query, vec)``.
 
-    All queries walk at once, a hop being a join with the graph and one with the vectors, both read as a whole, so that few hops with many nodes
-    are cheaper than many with few: each query opens its ``width`` most similar nodes that aren't open yet, hears of their neighbours (in both directions) and keeps the ``beam`` best; it is done when all it keeps are
+    All queries walk at once, a hop being a join with the graph and one with the vectors, both read as a whole, so that several nodes are opened
+    at once: each query opens its ``width`` most similar nodes that aren't open yet, hears of their neighbours (in both directions) and keeps the ``beam`` best; it is done when all it keeps are
     open, and the walk when all queries are. Entry points are random nodes, four times the square root of their number, which every task holds.
     What the queries hold is broadcast to the graph as long as it is small, so that a hop shuffles only that; beyond it both sides are shuffled.
     """
@@ -385,7 +385,6 @@ def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: in
     starts = nodes.select("node", "vec").orderBy(F.xxhash64("node", F.lit(seed))).limit(entries).collect()
     e_nodes = np.array([r.node for r in starts], dtype=np.int64)
     e_vecs = np.frombuffer(b"".join(bytes(r.vec) for r in starts), dtype=np.float32).reshape(-1, dim)
-    kind = queries.schema["query"].dataType.simpleString()
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = min(beam, len(e_nodes))
@@ -413,10 +412,12 @@ def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: in
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.clip(s, -1, 1))], names=["query", "node", "similarity"])
 
     small = written(nodes.select("node", "vec").mapInArrow(shrink, "node bigint, small binary"))  # a quarter to walk on
-    fields = f"query {kind}, node bigint, similarity double"
+    fields = "query bigint, node bigint, similarity double"
     step = graph.select("node", F.explode("nbrs").alias("n")).select("node", F.col("n.other").alias("next"))
     step = written(step.unionByName(step.select(F.col("next").alias("node"), F.col("node").alias("next"))).distinct())
-    q = written(queries.select("query", F.col("vec").alias("qv")))
+    # the walk moves numbers in place of the queries' ids; the names come back at the end
+    named = written(queries.select(F.monotonically_increasing_id().alias("query"), F.col("query").alias("name"), F.col("vec").alias("qv")))
+    q = named.select("query", "qv")
     asked = q.count()
 
     def narrow(x: DataFrame, a_query: int) -> DataFrame:
@@ -440,7 +441,8 @@ def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: in
         if held.filter("NOT open").isEmpty():
             break
     final = nodes.select("node", "vec").join(narrow(held.select("query", "node"), beam), "node").join(q, "query").select("query", "node", "vec", "qv").mapInArrow(exact, fields)
-    return final.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query", "node", "similarity", "rank")
+    final = final.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return final.join(named.select("query", "name"), "query").select(F.col("name").alias("query"), "node", "similarity", "rank")
 
 
 def search(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, dim: int = 64, k: int = 5, **graph_options: int) -> DataFrame:
